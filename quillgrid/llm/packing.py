@@ -26,8 +26,14 @@ from .common import arrow_function, col, fresh, utf8, written
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a worker keeps; it starts anew when they are more.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker keeps in either of two halves; when one is full it becomes the older, and words still in use move on.
+CACHED_WORDS = 300_000
+#: A word by itself whose single id no other word has.
+MARK, MARKED = b"\x02", b" \x02 "
+#: Neither letters, digits, white space nor apostrophes.
+TAIL = b".,;:!?*#%$&|"
+#: Texts that are looked up together.
+TEXTS_AT_ONCE = 256
 
 
 class WordIds:
@@ -35,36 +41,72 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            got = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(some)), side="right").tolist()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        # the same model for words of a-z, which its normaliser and its pattern leave as they are
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words become known by the tokenizer: many in one call, a mark between them.
+
+        White space separates words, so the ids of a text are those of its words and the mark's id stands alone.
+        """
+        bare = [w for w in words if w.isalpha() and w.isascii() and w.islower()]
+        for at in range(0, len(bare), 5000):
+            some = bare[at : at + 5000]
+            got = self.bare.encode(b" ".join(some).decode(), add_special_tokens=False)
+            ends = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some)), side="right")).tolist()
+            buffer = np.array(got.ids, dtype="<u4").tobytes()
+            self.known.update((w, buffer[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+        words = set(words).difference(bare)
+        plain = [w for w in words if MARK not in w and b"<|" not in w]
+        if len(plain) < len(words):
+            for w in words.difference(plain):
+                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(MARKED.join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            buffer, ends = ids.tobytes(), [*(4 * ends).tolist(), 4 * len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer joins words across white space")
             start = 0
             for w, end in zip(some, ends, strict=True):
-                self.known[w] = ids[start:end].tobytes()
-                start = end
-
-    def encode(self, text: bytes | None) -> bytes:
-        """The document's ids as little-endian 32-bit numbers, then END."""
-        words = (text or b"").split()
-        out = []
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            new = set(some).difference(self.known)
-            if new:
-                self.learn(list(new))
-                if len(new) != len(set(some)) and not all(map(self.known.__contains__, some)):
-                    self.learn(list(set(some).difference(self.known)))
-            out.extend(map(self.known.__getitem__, some))
-        return b"".join(out) + END.to_bytes(4, "little")
+                self.known[w] = buffer[start:end]
+                start = end + 4
+
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Those of words that are new; the others are known, or move on from the older half."""
+        known, older = self.known, self.older
+        old = [w for w in words if w in older]
+        known.update(zip(old, map(older.__getitem__, old), strict=True))
+        return [w for w in words if w not in known]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Words become known. A tail of marks after a letter is a token of its own, and case doesn't count, so
+        only the parts that are new go to the tokenizer."""
+        new, parts = self._recall(words), {}
+        for w in new:
+            low = w.lower()
+            core = low.rstrip(TAIL)
+            if core != low and core and (core[-1] < 128 and core[-1:].isalpha()):
+                parts[w] = (core, low[len(core) :])
+            elif low != w:
+                parts[w] = (low, b"")
+        self._encode(self._recall({w for w in new if w not in parts}.union(*parts.values()) - {b""}))
+        for w, (core, tail) in parts.items():
+            self.known[w] = self.known[core] + (self.known[tail] if tail else b"")
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each document's ids as little-endian 32-bit numbers, then END."""
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        known, split = self.known, [(t or b"").split() for t in texts]
+        self.learn({w for words in split for w in words if w not in known})
+        return [b"".join(map(known.__getitem__, words)) + END.to_bytes(4, "little") for words in split]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -84,8 +126,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def cut(texts: pa.Array) -> pa.Array:
         words, ends = word_ids(tokenizer), [0]
         piece, start, length, crc, ids = [], [], [], [], []
-        for text in utf8(texts):
-            buffer = words.encode(text)
+        values = utf8(texts)
+        for buffer in (b for at in range(0, len(values), TEXTS_AT_ONCE) for b in words.encode_all(values[at : at + TEXTS_AT_ONCE])):
             for k, at in enumerate(range(0, len(buffer), 4 * capacity)):
                 part = buffer[at : at + 4 * capacity]
                 piece.append(k)
