@@ -14,6 +14,7 @@ bounded by ``capacity``, turns (length, rank) into (sequence, offset).
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 
@@ -88,17 +89,27 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         """Words become known. A tail of marks after a letter is a token of its own, and case doesn't count, so
         only the parts that are new go to the tokenizer."""
-        new, parts = self._recall(words), {}
-        for w in new:
+        whole, parts, missing = [], [], set()
+        known = self.known
+        for w in self._recall(words):
+            if w.islower() and w.isalpha():
+                missing.add(w)
+                continue
             low = w.lower()
             core = low.rstrip(TAIL)
-            if core != low and core and (core[-1] < 128 and core[-1:].isalpha()):
-                parts[w] = (core, low[len(core) :])
-            elif low != w:
-                parts[w] = (low, b"")
-        self._encode(self._recall({w for w in new if w not in parts}.union(*parts.values()) - {b""}))
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + (self.known[tail] if tail else b"")
+            if core and core[-1] < 128 and core[-1:].isalpha() and core != w:
+                tail = low[len(core) :]
+                whole.append(w)
+                parts.append((core, tail))
+                if core not in known:
+                    missing.add(core)
+                if tail and tail not in known:
+                    missing.add(tail)
+            else:
+                missing.add(w)
+        self._encode(self._recall(missing))
+        known[b""] = b""
+        known.update((w, known[core] + known[tail]) for w, (core, tail) in zip(whole, parts, strict=True))
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """Each document's ids as little-endian 32-bit numbers, then END."""
@@ -127,6 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         words, ends = word_ids(tokenizer), [0]
         piece, start, length, crc, ids = [], [], [], [], []
         values = utf8(texts)
+        gc.disable()  # many objects, no cycles
         for buffer in (b for at in range(0, len(values), TEXTS_AT_ONCE) for b in words.encode_all(values[at : at + TEXTS_AT_ONCE])):
             for k, at in enumerate(range(0, len(buffer), 4 * capacity)):
                 part = buffer[at : at + 4 * capacity]
@@ -137,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 if with_ids:
                     ids.append(part)
             ends.append(len(piece))
+        gc.enable()
         columns = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))] + ([pa.array(ids, pa.binary())] if with_ids else [])
         names = ["piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=names))
