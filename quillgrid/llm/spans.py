@@ -41,17 +41,20 @@ def sentences(text: bytes | None) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: bytes, places: list[tuple[int, int]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(digest's halves, first sentence, sentence after the last) of the runs of a text."""
+def runs(text: bytes, places: list[tuple[int, int]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(128-bit digest, first sentence, sentence after the last) of the runs of a text."""
     words = [text[a:b].split() for a, b in places]
-    total = np.cumsum([0, *map(len, words)])
-    out = []
+    plain = list(map(b" ".join, words))
+    sizes = list(map(len, words))
+    out, j, held = [], 0, 0
     for i in range(len(words)):
-        j = max(i + min_sentences, int(np.searchsorted(total, total[i] + min_words)))
-        if j > len(words):
+        while j < len(words) and (held < min_words or j - i < min_sentences):
+            held += sizes[j]
+            j += 1
+        if held < min_words or j - i < min_sentences:
             break
-        h = xxhash.xxh3_128_digest(b" ".join(b" ".join(w) for w in words[i:j]))
-        out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), i, j))
+        out.append((xxhash.xxh3_128_digest(b" ".join(plain[i:j])), i, j))
+        held -= sizes[i]
     return out
 
 
@@ -61,9 +64,10 @@ def _runs(texts: pa.Array) -> pa.Array:
     for text in utf8(texts):
         rows += runs(text, sentences(text)) if text else []
         ends.append(len(rows))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "g", "i", "j"]))
+    digests, first, after = zip(*rows, strict=True) if rows else ((), (), ())
+    halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+    columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(first, pa.int32()), pa.array(after, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["h", "g", "i", "j"]))
 
 
 @arrow_function("struct<n_sentences:int,n_removed:int,n_spans:int,kept:string>")
@@ -94,7 +98,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     every = rows.select("id", "tie", F.explode(_runs(F.col("text"))).alias("r")).select("id", "tie", "r.*")
     again = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-digests")
-    held = written(every.join(again, "h", "left_semi").distinct(), "repeated-runs")
+    held = written(every.join(again, "h", "left_semi"), "repeated-runs")
     first = held.groupBy("h", "g").agg(F.min(F.struct("id", "tie", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = held.join(first, ["h", "g"]).where(~(F.struct("id", "tie", "i").eqNullSafe(F.col("first"))))
     gone = later.groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("i", "j")).alias("gone"), F.array_sort(F.collect_set("first.id")).alias("first_ids"))
