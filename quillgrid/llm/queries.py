@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, pii, quality, simhash, spans, warc
+from . import langid, media, mixing, packing, pii, quality, repeats, simhash, spans, warc
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", media.round_trip(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
