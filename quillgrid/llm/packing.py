@@ -28,7 +28,7 @@ from .common import arrow_function, col, fresh, utf8, written
 CAPACITY = 2048
 END = 0
 #: Words whose ids a worker keeps in either of two halves; when one is full it becomes the older, and words still in use move on.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: A word by itself whose single id no other word has.
 MARK, MARKED = b"\x02", b" \x02 "
 #: Neither letters, digits, white space nor apostrophes.

@@ -30,7 +30,7 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 #: A prefix with more variants than this is split by further bits while it is worked on.
-MAX_VARIANTS = 4_000_000
+MAX_VARIANTS = 1_000_000
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
