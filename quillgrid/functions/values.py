@@ -59,45 +59,50 @@ def _strip_marks(c: Column) -> Column:
     return F.regexp_replace(bare, r"(?iu)^đ|(?:đồng|dong|đ)$", "")
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often it is used, and the plan's code kept small."""
+    return F.transform(F.array(value), use)[0]
+
+
 def number_parts(c: Column, convention: str = "dot") -> Column:
     """struct<value double, style string> of a text cell; null where it is no number."""
-    s = trim(c)
     paren = rf"(?iu)^{MARK}?{WS}*\({WS}*{MARK}?{WS}*([0-9.,]+{WS}*%?){WS}*\){WS}*{MARK}?%?$"
-    inner = F.regexp_extract(s, paren, 1)
-    year = s.rlike(r"^\((?:19|20)[0-9]{2}\)$")
-    is_paren = (inner != "") & ~year
-    text = F.when(is_paren, inner).otherwise(s)
-    body = _strip_marks(text)
-    negative = body.startswith("-")
-    digits = F.regexp_replace(body, "^-", "")
-    money = s.rlike(rf"(?iu){MARK}")
-    number = lambda x: x.try_cast("double")
-    no_commas, no_dots = F.regexp_replace(digits, ",", ""), F.regexp_replace(digits, r"\.", "")
-    whole, fraction = F.regexp_extract(digits, r"^([0-9]*)[.,]", 1), F.regexp_extract(digits, r"[.,]([0-9]+)$", 1)
-    joined, pointed = number(F.concat(whole, fraction)), number(F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), fraction))
-    could = (F.length(fraction) == 3) & whole.rlike("^[1-9][0-9]{0,2}$")
-    one_dot, one_comma = digits.rlike(r"^[0-9]*\.[0-9]+$"), digits.rlike("^[0-9]*,[0-9]+$")
-    r = lambda v, s: F.struct(v.alias("value"), F.lit(s).alias("style"))
-    grouped = joined if convention == "comma" else pointed
-    other = pointed if convention == "comma" else joined
-    read = (
-        F.when(digits.rlike("^[0-9]+$"), r(number(digits), "plain"))
-        .when(one_dot & ~could, r(pointed, "dot"))
-        .when(one_comma & ~could, r(pointed, "comma"))
-        .when(one_dot & money, r(joined, "comma"))
-        .when(one_comma & money, r(joined, "dot"))
-        .when(one_dot & s.endswith("%"), r(pointed, "dot"))
-        .when(one_dot, r(grouped, "ambiguous"))
-        .when(one_comma, r(other, "ambiguous"))
-        .when(digits.rlike(rf"^{_GROUPS}\.[0-9]+$"), r(number(no_commas), "dot"))
-        .when(digits.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]+$"), r(number(F.regexp_replace(no_dots, ",", ".")), "comma"))
-        .when(digits.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$"), r(number(no_dots), "comma"))
-        .when(digits.rlike(rf"^{_GROUPS}$"), r(number(no_commas), "dot"))
-    )
-    ok = s.rlike("[0-9]") & body.rlike(r"^-?[0-9.,]*[0-9]$")
-    sign = F.when(is_paren | negative, -1.0).otherwise(1.0)
-    bad = is_paren & ((read["value"] == 0) | inner.contains("-"))
-    return F.when(ok & read.isNotNull() & ~bad, F.struct((read["value"] * sign).alias("value"), read["style"].alias("style")))
+    r = lambda v, style: F.struct(v.alias("value"), F.lit(style).alias("style"))
+    real = lambda x: x.try_cast("double")
+
+    def of_text(s: Column) -> Column:
+        inner = F.when(s.contains(")") & ~s.rlike(r"^\((?:19|20)[0-9]{2}\)$"), F.regexp_extract(s, paren, 1)).otherwise("")
+        return bind(inner, lambda i: bind(_strip_marks(F.when(i != "", i).otherwise(s)), lambda body: of_body(s, i, body)))
+
+    def of_body(s: Column, inner: Column, body: Column) -> Column:
+        negative = (inner != "") | body.startswith("-")
+        read = bind(F.regexp_replace(body, "^-", ""), lambda digits: of_digits(s, digits))
+        signed = bind(read, lambda x: F.when(x.isNotNull() & ~((inner != "") & (x["value"] == 0)), F.struct((x["value"] * F.when(negative, -1.0).otherwise(1.0)).alias("value"), x["style"].alias("style"))))
+        return F.when(body.rlike(r"^-?[0-9.,]*[0-9]$") & ~((inner != "") & body.startswith("-")), signed)
+
+    def of_digits(s: Column, digits: Column) -> Column:
+        money = s.rlike(rf"(?iu){MARK}")
+        no_commas, no_dots = F.regexp_replace(digits, ",", ""), F.regexp_replace(digits, r"\.", "")
+        whole, fraction = F.regexp_extract(digits, r"^([0-9]*)[.,]", 1), F.regexp_extract(digits, r"[.,]([0-9]+)$", 1)
+
+        def one_mark(x: Column) -> Column:
+            dot, joined, pointed = digits.contains("."), real(F.concat(x["whole"], x["fraction"])), real(F.concat(F.when(x["whole"] == "", "0").otherwise(x["whole"]), F.lit("."), x["fraction"]))
+            could = (F.length(x["fraction"]) == 3) & x["whole"].rlike("^[1-9][0-9]{0,2}$")
+            own = F.when(dot, r(pointed, "dot")).otherwise(r(pointed, "comma"))
+            other = F.when(dot, r(joined, "comma")).otherwise(r(joined, "dot"))
+            grouping = dot if convention == "comma" else ~dot
+            return F.when(~could | (~money & dot & s.endswith("%")), own).when(money, other).otherwise(F.when(grouping, r(joined, "ambiguous")).otherwise(r(pointed, "ambiguous")))
+
+        return (
+            F.when(digits.rlike("^[0-9]+$"), r(real(digits), "plain"))
+            .when(digits.rlike("^[0-9]*[.,][0-9]+$"), bind(F.struct(whole.alias("whole"), fraction.alias("fraction")), one_mark))
+            .when(digits.rlike(rf"^{_GROUPS}\.[0-9]+$"), r(real(no_commas), "dot"))
+            .when(digits.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]+$"), r(real(F.regexp_replace(no_dots, ",", ".")), "comma"))
+            .when(digits.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$"), r(real(no_dots), "comma"))
+            .when(digits.rlike(rf"^{_GROUPS}$"), r(real(no_commas), "dot"))
+        )
+
+    return F.when(c.rlike("[0-9]"), bind(trim(c), of_text))
 
 
 def number(c: Column, convention: str = "dot") -> Column:
@@ -122,7 +127,10 @@ def _month(c: Column) -> Column:
 
 def date(c: Column, order: str = "mdy") -> Column:
     """A date or instant written as text, as timestamp_ntz in UTC; null where it is none, or no such day exists."""
-    s = trim(c)
+    return F.when(c.rlike(r"\d"), bind(trim(c), lambda s: _date_of(s, order)))
+
+
+def _date_of(s: Column, order: str) -> Column:
     iso = r"(?i)^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
     g = lambda p, i: F.regexp_extract(s, p, i)
     zone = g(iso, 7)
@@ -138,7 +146,7 @@ def date(c: Column, order: str = "mdy") -> Column:
     num_value = F.when(month_first, F.coalesce(at(a, b), at(b, a))).otherwise(F.coalesce(at(b, a), at(a, b)))
     mdy = r"(?i)^([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
     dmy = r"(?i)^(\d{1,2})(?:st|nd|rd|th)?[\s-]([a-z]{3,9})\.?,?[\s-](\d{4}|\d{2})$"
-    return F.when(s.rlike(r"\d") & (F.length(s) <= 40), (
+    return F.when(F.length(s) <= 40, (
         F.when(s.rlike(iso), iso_value)
         .when(s.rlike(ymd), _date(g(ymd, 1), g(ymd, 2), g(ymd, 3)))
         .when(s.rlike(num), num_value)
