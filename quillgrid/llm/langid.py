@@ -119,8 +119,9 @@ class Model:
             owner = np.array([i for i, _ in some])
             active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
             for k, root in enumerate(self.roots):
-                state = np.full(len(some), root, dtype=np.int32)
-                n = np.ones(len(some), dtype=np.int32)
+                # row 0 leads nowhere: a text's first symbol, and one after a symbol that the root lacks, start a phrase
+                state = np.zeros(len(some), dtype=np.int32)
+                n = np.zeros(len(some), dtype=np.int32)
                 for t in range(sizes[0]):
                     m = active[t]
                     c = block[t, :m]
@@ -128,8 +129,7 @@ class Model:
                     missed = np.flatnonzero(following == 0)
                     if len(missed):
                         n[missed] += 1
-                        again = self.table[root + c[missed].astype(np.int32)]
-                        following[missed] = np.where(again > 0, again, root)
+                        following[missed] = self.table[root + c[missed].astype(np.int32)]
                     state[:m] = following
                 counts[:, k] += np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
         return counts
