@@ -100,6 +100,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-digests")
     held = written(every.join(again, "h", "left_semi"), "repeated-runs")
     first = held.groupBy("h", "g").agg(F.min(F.struct("id", "tie", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first-runs")  # a table, so that the join below may split a passage of many documents
     later = held.join(first, ["h", "g"]).where(~(F.struct("id", "tie", "i").eqNullSafe(F.col("first"))))
     gone = later.groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("i", "j")).alias("gone"), F.array_sort(F.collect_set("first.id")).alias("first_ids"))
     gone = written(gone, "covered")
