@@ -231,6 +231,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     known = mixed.select("h", "c", "n").join(found, ["h", "c"], "left").where("n > 1 or spans is not null")
     known = known.select(F.col("h").alias("h0"), F.col("c").alias("c0"), F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("z")))).otherwise(F.col("spans")).alias("spans"))
+    known = written(known, "known")  # a table, so that the join below may split a string of many documents
     part = held.where("mixed").join(known, (F.col("h") == F.col("h0")) & (F.col("c") == F.col("c0"))).select("id", "tie", "lo", "hi", F.explode("spans").alias("s"))
     part = part.select("id", "tie", (F.col("lo") + F.col("s.a")).alias("lo"), F.when(F.col("s.z") < 0, F.col("hi")).otherwise(F.col("lo") + F.col("s.z")).alias("hi"))
     gone = held.where("not mixed").select("id", "tie", "lo", "hi").union(part)
