@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = nodes.groupBy("root").agg(F.min("least").alias("whole"))
     nodes = nodes.join(whole, "root").select(F.col("node").alias("fp"), "whole")
     label = own.join(nodes, "fp", "left").select(F.col("fp").alias(of), F.coalesce("whole", "least").alias("component_id"))
+    label = written(label, "labels")  # a table, so that the join below may split a fingerprint of many rows
     return rows.join(label, col(fp) == col(of), "left").select(
         *map(col, keep), F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id"
     )
