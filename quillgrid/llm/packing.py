@@ -14,6 +14,8 @@ bounded by ``capacity``, turns (length, rank) into (sequence, offset).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import zlib
@@ -28,7 +30,7 @@ from .common import arrow_function, col, fresh, utf8, written
 CAPACITY = 2048
 END = 0
 #: Words whose ids a worker keeps in either of two halves; when one is full it becomes the older, and words still in use move on.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 #: A word by itself whose single id no other word has.
 MARK, MARKED = b"\x02", b" \x02 "
 #: Neither letters, digits, white space nor apostrophes.
@@ -125,6 +127,8 @@ _loaded: dict[str, WordIds] = {}
 
 def word_ids(path: str) -> WordIds:
     if path not in _loaded:
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # what earlier work of this process has freed goes back to the system
         _loaded[path] = WordIds(path)
     return _loaded[path]
 
