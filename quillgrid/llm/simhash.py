@@ -171,16 +171,16 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
     """docs with ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least id reachable).
 
-    keep_text: carry all columns of docs, the text included; otherwise only the id. Columns of docs named
+    keep_text: carry all columns of docs, the text included; otherwise the id and the columns of ``carry``. Columns of docs named
     fingerprint or component_id are replaced. Null or blank texts have fingerprint 0 and are linked like any
     other; null ids never become a component's id unless it has no other. Repeated rows stay.
     """
     if radius % 2 or radius < 2:
         raise ValueError("the radius is an even number of bits, 2 at least")
-    keep = [c for c in docs.columns if c.lower() not in ("fingerprint", "component_id")] if keep_text else [id_col]
+    keep = [c for c in docs.columns if c.lower() not in ("fingerprint", "component_id")] if keep_text else [id_col, *(carry or [])]
     fp, of = fresh(docs, "fp"), fresh(docs, "of")
     rows = written(docs.select(*map(col, keep), fingerprint_column(col(text_col)).alias(fp)), "fingerprints")
     own = written(rows.groupBy(col(fp).alias("fp")).agg(F.min(col(id_col)).alias("least")), "distinct")
@@ -199,15 +199,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component of near-duplicates, with the columns of docs: the row of the least id.
 
-    Rows that share this id, or components without any id, keep one row. The rows of a component are compared
-    by (id, digest of the text) in partial aggregates, so that a group of any size is spread over all tasks.
+    Rows that share this id keep one row; without any id in a component each fingerprint keeps one. Whole rows are
+    met by a digest of id and text only once the rows that stay are known, so no text is stored or grouped.
     """
-    found = near_duplicates(docs, id_col, text_col, True, radius)
-    rank, tie = fresh(found, "rank"), fresh(found, "tie")
-    where = (col(id_col) == F.col("component_id")) | F.col("component_id").isNull()
-    kept = found.where(where).withColumn(tie, F.xxhash64(col(text_col)))
-    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy(tie)
-    return kept.withColumn(rank, F.row_number().over(by)).where(col(rank) == 1).select(*map(col, docs.columns))
+    row, of, whose, rank = (fresh(docs, x) for x in ("row", "of", "whose", "rank"))
+    digest = F.xxhash64(col(id_col), col(text_col))
+    narrow = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), digest.alias("row"))
+    found = near_duplicates(narrow, "id", "text", False, radius, carry=["row"])
+    found = found.where((F.col("id") == F.col("component_id")) | F.col("component_id").isNull())
+    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy("row")
+    first = found.withColumn("rank", F.row_number().over(by)).where("rank = 1").select(F.col("row").alias(of), F.col("id").alias(whose))
+    first = written(first, "representatives")
+    met = docs.withColumn(row, digest).join(first, (col(row) == col(of)) & col(id_col).eqNullSafe(col(whose)))
+    once = Window.partitionBy(row).orderBy(row)  # the join's own partitions; repeated rows are alike
+    return met.withColumn(rank, F.row_number().over(once)).where(col(rank) == 1).select(*map(col, docs.columns))
 
 
 def brute_force(rows: list[tuple]) -> pd.DataFrame:
