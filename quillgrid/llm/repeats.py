@@ -30,7 +30,7 @@ from .anchors import WIDTH, anchors
 from .common import arrow_function, col, utf8, written
 
 #: Strings of a shard, about.
-SHARD = 8000
+SHARD = 4000
 CUT_EVERY = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -49,12 +49,19 @@ def _runs(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["h", "c", "lo", "hi"]))
 
 
-@arrow_function("array<struct<h:long,c:long,n:long,string:binary>>")
-def _strings(texts: pa.Array, places: pa.Array) -> pa.Array:
-    out = []
-    for text, rows in zip(utf8(texts), places.to_pylist(), strict=True):
-        out.append([{"h": r["h"], "c": r["c"], "n": r["n"], "string": text[r["lo"] : r["hi"] + WIDTH]} for r in rows])
-    return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("string", pa.binary())])))
+def _strings(batches):
+    """The strings of the places of texts, a row each, in small batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            h, c, n, strings = [], [], [], []
+            for text, rows in zip(utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
+                for r in rows:
+                    h.append(r["h"])
+                    c.append(r["c"])
+                    n.append(r["n"])
+                    strings.append(text[r["lo"] : r["hi"] + WIDTH])
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in (h, c, n)), pa.array(strings, pa.binary())], names=["h", "c", "n", "string"])
 
 
 def phrases(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -224,7 +231,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     places = mixed.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_list(F.struct("h", "c", "n", "lo", "hi")).alias("places"))
     here = rows.join(places, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")))
-    strings = here.select(F.explode(_strings(F.col("text"), F.col("places"))).alias("s")).select("s.*")
+    strings = here.select("text", "places").mapInArrow(_strings, "h long, c long, n long, string binary")
     shards = max(1, math.ceil(mixed.count() / SHARD))
     found = strings.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(_shard, "h long, c long, spans array<struct<a:int,z:int>>")
     found = written(found, "sorted")
