@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_function, col, fresh, utf8, written
+from .merges import LONGEST, Merges
 
 CAPACITY = 2048
 END = 0
@@ -35,21 +36,32 @@ CACHED_WORDS = 300_000
 MARK, MARKED = b"\x02", b" \x02 "
 #: Neither letters, digits, white space nor apostrophes.
 TAIL = b".,;:!?*#%$&|"
+#: Letters before it have one form only.
+LATIN = "\u0180"
 #: Texts that are looked up together.
 TEXTS_AT_ONCE = 256
 
 
+def whole_letters(word: bytes) -> bool:
+    """A word of small Latin letters, composed ones included, no longer than what is merged side by side."""
+    if not 0 < len(word) <= LONGEST:
+        return False
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = word.decode()
+    return text.isalpha() and max(text) < LATIN and text == text.lower()
+
+
 class WordIds:
     """Ids of white-space separated words by a tokenizer that drops white space, kept by word."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        # the same model for words of a-z, which its normaliser and its pattern leave as they are
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # the same model for words of small letters, which its normaliser and its pattern leave as they are
+        self.merges = Merges(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
 
     def _encode(self, words: list[bytes]) -> None:
@@ -57,13 +69,8 @@ class WordIds:
 
         White space separates words, so the ids of a text are those of its words and the mark's id stands alone.
         """
-        bare = [w for w in words if w.isalpha() and w.isascii() and w.islower()]
-        for at in range(0, len(bare), 5000):
-            some = bare[at : at + 5000]
-            got = self.bare.encode(b" ".join(some).decode(), add_special_tokens=False)
-            ends = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some)), side="right")).tolist()
-            buffer = np.array(got.ids, dtype="<u4").tobytes()
-            self.known.update((w, buffer[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+        bare = [w for w in words if whole_letters(w)]
+        self.known.update(self.merges.encode(bare))
         words = set(words).difference(bare)
         plain = [w for w in words if MARK not in w and b"<|" not in w]
         if len(plain) < len(words):
@@ -99,7 +106,7 @@ class WordIds:
                 continue
             low = w.lower()
             core = low.rstrip(TAIL)
-            if core and core[-1] < 128 and core[-1:].isalpha() and core != w:
+            if core and core != w and (core[-1:].isalpha() or whole_letters(core)):
                 tail = low[len(core) :]
                 whole.append(w)
                 parts.append((core, tail))

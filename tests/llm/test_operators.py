@@ -402,6 +402,24 @@ def test_packing(docs, clashing, none):
     assert packing.packed(none, path).count() == 0 and packing.packed(clashing, path).count() > 0
 
 
+def test_merges_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    from quillgrid.llm.merges import LONGEST, Merges
+
+    path = queries.tokenizer_path()
+    real, rng = Tokenizer.from_file(path), random.Random(3)
+    words = {"".join(rng.choice("aaeeinrstthoßéñçü") for _ in range(rng.randint(1, 16))) for _ in range(3000)} | {"a", "aaa", "a" * LONGEST, "ŉſĸ", "ªº"}
+    words = [w.encode() for w in words if packing.whole_letters(w.encode())]
+    got = Merges(path).encode(words)
+    assert len(words) > 2500 and set(got) == set(words) and Merges(path).encode([]) == {}
+    assert all(got[w] == np.array(real.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    assert not any(map(packing.whole_letters, (b"", b"a" * (LONGEST + 1), b"Ab", "É".encode(), "e\u0301".encode(), "日".encode(), b"a.")))
+    texts = ["".join(rng.choice("abcXYZ éÉßñ'.,!12 \u0301ʰİ ﬁ日\x02<|>") for _ in range(rng.randint(0, 60))) for _ in range(500)] + [""]
+    ids = packing.WordIds(path).encode_all([t.encode() for t in texts])
+    assert ids == [np.array([*real.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+
 def test_plan_fills_exactly():
     rng = random.Random(2)
     counts = {}
