@@ -88,6 +88,30 @@ def test_store_expires():
         ("how many closed after August 15, 2026", lambda x: x["result"] == 2),
         ("what is the median revenue", lambda x: "can't work out a median" in x["spoken"]),
         ("which tables are there", lambda x: "Budget" in x["spoken"]),
+        ("who has more revenue than Bảo", lambda x: x["rows"] == ["Anh", "Chi", "An"]),
+        ("how many have less revenue than Anh", lambda x: x["result"] == 2),
+        ("who closed after Chi", lambda x: x["rows"] == ["Dũng", "An"]),
+        ("who is in the same region as Chi", lambda x: x["rows"] == ["Dũng"]),
+        ("how many regions are there", lambda x: x["result"] == 3),
+        ("rank the regions by revenue", lambda x: [g["key"] for g in x["groups"]] == ["South", "North", "East"]),
+        ("regions by revenue from lowest to highest", lambda x: [g["key"] for g in x["groups"]] == ["East", "North", "South"]),
+        ("who has the highest revenue in each region", lambda x: x["rows"] == ["Anh", "Chi", "An"]),
+        ("which region made more than 20000", lambda x: {g["key"] for g in x["groups"]} == {"North", "South"}),
+        ("how many rows has the region with the highest revenue", lambda x: x["result"] == 2),
+        ("how much more did South make than North", lambda x: x["difference"] == 4350),
+        ("total revenue of 12400 or more", lambda x: x["result"] == 49000),
+        ("how many revenue exactly 12400", lambda x: x["result"] == 1),
+        ("how many with no revenue", lambda x: x["result"] == 0),
+        ("what is the revenue of Chi", lambda x: x["result"] == 21000 and x["spoken"] == "Revenue is 21,000."),
+        ("when was the closed date of Bảo", lambda x: "July 19, 2026" in x["spoken"]),
+        ("what is the third column", lambda x: x["column"] == "Revenue"),
+        ("what is the last column", lambda x: x["column"] == "Closed"),
+        ("breakdown of revenue", lambda x: [g["key"] for g in x["groups"]] == ["South", "North", "East"]),
+        ("top 2 reps in each region", lambda x: "not several of each group" in x["spoken"]),
+        ("tell me more", lambda x: "revenue is number" in x["spoken"]),
+        ("never mind", lambda x: x["spoken"] == "All right, I left it."),
+        ("help", lambda x: "Revenue" in x["spoken"]),
+        ("zebra giraffe", lambda x: x["error"] and "zebra" in x["spoken"]),
     ],
 )
 def test_questions(tools, question, check):
@@ -106,6 +130,19 @@ def test_follow_up_and_why(tools):
     assert r.ask("which ones")["matched_rows"] == 2
 
 
+def test_than_that_and_pending(spark, tools):
+    r = Router(tools)
+    r.table = "sales"
+    r.ask("average revenue")
+    assert r.ask("how many have more revenue than that")["result"] == 3
+    c = Catalog()
+    c.add("two", ingest.build(spark, read.read_bytes(b"Shop,Rent,Wages\nMatcha 100g,10,20\nCocoa bar,30,40\nTea,50,60\n", "two.csv"), "two.csv")[0])
+    r = Router(Tools(spark, c))
+    assert r.ask("what is the total")["spoken"].startswith("Which column do you mean?")
+    assert r.ask("wages")["result"] == 120
+    assert r.ask("rent of matcha")["result"] == 10
+
+
 def test_speech_and_names():
     assert speech.number(999950) == "1 million" and speech.number(12345) == "12.3 thousand" and speech.number(-0.0123) == "minus 0.012" and speech.number(1234.5) == "1,234.5"
     assert speech.amount(24900) == "24.9 thousand" and speech.amount(20550) == "about 20.6 thousand"
@@ -131,3 +168,30 @@ def test_values_agree(spark):
     xs = [0.0, 5.0, 0.0123, 1234.5, 10000.0, 12345.0, 999950.0, 2.5e6, -3.2e9]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     assert [r[0] for r in df.select(speech.number_column(F.col("x"))).collect()] == [speech.number(x) for x in xs]
+
+
+def test_messages(tools):
+    import json
+    import threading
+    import urllib.request
+
+    from quillgrid import serve
+
+    def call(name, **arguments):
+        return serve.handle(tools, {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}})
+
+    assert len(serve.handle(tools, {"jsonrpc": "2.0", "id": 1, "method": "tools/list"})["result"]["tools"]) == 9
+    assert serve.handle(tools, {"jsonrpc": "2.0", "method": "notifications/initialized"}) is None
+    x = call("table_query", table_id="sales", aggregate="sum", aggregate_column="Revenue")["result"]
+    assert x["structuredContent"]["result"] == 61050 and not x["isError"]
+    assert call("table_query", table_id="nowhere")["result"]["isError"]
+    for wrong in ({"limit": 21}, {"limit": True}, {"aggregate": "median"}, {"colour": "red"}, {"filters": [{"op": "eq"}]}, {"filters": [{"column": "a", "op": "eq"}] * 11}):
+        assert call("table_query", **wrong)["error"]["code"] == -32602, wrong
+    assert call("table_drop")["error"]["code"] == -32602 and call("table_explain")["error"]["code"] == -32602
+    assert serve.handle(tools, [])["error"]["code"] == -32600
+    s = serve.server(tools, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    request = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/mcp", json.dumps({"jsonrpc": "2.0", "id": 7, "method": "ping"}).encode())
+    with urllib.request.urlopen(request, timeout=20) as answer:
+        assert json.loads(answer.read()) == {"jsonrpc": "2.0", "id": 7, "result": {}}
+    s.shutdown()
