@@ -151,3 +151,36 @@ def test_all_or_nothing_and_index(spark, tmp_path):
     again = ingest.load(spark, str(tmp_path / "index"))
     assert compile.run(again.locate("a"), QuerySpec(aggregate="sum", column="Revenue")).value == 61050
     assert ingest.catalog_frame(spark, again).count() == 4
+
+
+def test_notes_and_sign_offs(spark):
+    table = "Item,Qty,Price\nPen,3,12\nBook,4,30\nLamp,5,90\n"
+    for tail, what in (
+        ("Prepared by:,Jordan Lee,\nApproved by:,Sam Roe,\n", "Prepared by: Jordan Lee. Approved by: Sam Roe"),
+        ("\nNgười lập biểu,,Giám đốc\n\"(Ký, họ tên)\",,\"(Ký, họ tên)\"\nLan,,Minh\n", "Người lập biểu; Giám đốc. Lan; Minh"),
+        ("Source:,General ledger,\n", "Source: General ledger"),
+        ("Nguồn: phòng kế toán,,\n", "Nguồn: phòng kế toán"),
+        (",,Prices include VAT.\n", "Prices include VAT."),
+        ("These figures have not been audited and may still change.,,\n", "These figures have not been audited"),
+    ):
+        regions, warnings = ingest.build(spark, read.read_bytes((table + tail).encode(), "x.csv"), "x.csv")
+        assert len(regions) == 1 and regions[0].row_count == 3, tail
+        assert regions[0].columns[2].profile["sum"] == 132 and any(what in w for w in warnings), (tail, warnings)
+    for tail in ("International Business Machines,,\n", "Received by customer,6,7\n"):
+        regions, _ = ingest.build(spark, read.read_bytes((table + tail).encode(), "x.csv"), "x.csv")
+        assert regions[0].row_count == 4, tail
+    regions, _ = ingest.build(spark, read.read_bytes((table + "\nOrder,Status\n17,Received by customer\n18,Sent\n").encode(), "x.csv"), "x.csv")
+    assert len(regions) == 2
+
+
+def test_report(spark, tmp_path, capsys):
+    from quillgrid.plans import report
+
+    (tmp_path / "sales.csv").write_text("Region,Revenue\nNorth,5\nSouth,7\nTotal,12\n")
+    out = f"file://{tmp_path}/index"
+    assert report.main([f"{tmp_path}/*.csv", "--out", out], spark) == 0
+    said = capsys.readouterr().out
+    assert "Revenue  number  2 of 2  sum 12, 5 to 7" in said and "left out of figures, sheet rows 4" in said
+    assert list(ingest.load(spark, out).tables) == ["sales"]
+    assert report.main([f"{tmp_path}/sales.csv", f"{tmp_path}/none.csv", "--out", out + "2"], spark) == 1
+    assert "Nothing written" in capsys.readouterr().err and not (tmp_path / "index2").exists()
