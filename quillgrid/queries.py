@@ -376,7 +376,7 @@ def structure_islands(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT n_nationkey AS id, n_nationkey * 60 AS top, n_nationkey * 60 + 9 AS bottom, n_name AS value FROM nation)
-SELECT o_orderkey AS r, coalesce(nullif(CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END, ''), value) AS value, o_orderkey % 2 = 0 AND value IS NOT NULL AS inherited
+SELECT o_orderkey AS r, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(value, '') ELSE o_orderstatus END AS value, o_orderkey % 2 = 0 AND value IS NOT NULL AS inherited
 FROM orders LEFT JOIN m ON o_orderkey BETWEEN top AND bottom""")
 def structure_merge_fill(spark, sf_dir):
     cells = read(spark, sf_dir, "orders").select(F.lit("s").alias("sheet"), F.col("o_orderkey").alias("r"), F.lit(0).alias("c"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus")).alias("value"))
@@ -438,4 +438,19 @@ def fn_js_string(spark, sf_dir):
 @query(f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS key, CAST(count(*) AS BIGINT) AS n, {tidy('sum(value)')} AS value FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, sf_dir):
     """Hourly sums by a streaming query over the events table, run until all is read."""
-    return windows.tumbling(spark, f"{sf_dir}/events.parquet", "ts", "event_type", "value", "1 hour")
+    return windows.windowed(spark, f"{sf_dir}/events.parquet", "ts", "event_type", "value", "1 hour")
+
+
+@query(f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(back) AS start, event_type AS key, CAST(count(*) AS BIGINT) AS n, {tidy('sum(value)')} AS value
+FROM events, (VALUES (0), (1), (2)) AS b(back) GROUP BY 1, 2""")
+def stream_sliding(spark, sf_dir):
+    """Sums over three hours, each hour anew: an event counts in three windows."""
+    return windows.windowed(spark, f"{sf_dir}/events.parquet", "ts", "event_type", "value", "3 hours", "1 hour")
+
+
+@query("""WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT key, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY key, k""")
+def stream_sessions(spark, sf_dir):
+    """A user's events without a gap of twelve hours are one session."""
+    return windows.in_sessions(spark, f"{sf_dir}/events.parquet", "ts", "user_id", "12 hours")
