@@ -63,6 +63,7 @@ class Router:
         self.last_answer: str | None = None
         self.figure: float | None = None
         self.pending: str | None = None
+        self.known: dict[tuple, list[str]] = {}
         self.spoken = ""
 
     # ---- words to columns and values ----
@@ -117,7 +118,7 @@ class Router:
     def _partly(self, folded: str) -> list[Filter]:
         """A condition by a word that only one value has, such as the brand of a longer name."""
         headings = {stem(w) for c in self.region().columns for w in re.findall(r"\w+", fold(c.name))}
-        asked = {w for w in re.findall(r"\w+", folded) if len(w) > 3 and stem(w) not in headings and not any(re.search(p, w) for _, p in AGGREGATE_WORDS)}
+        asked = {w for w in re.findall(r"\w+", folded) if len(w) > 3 and w not in SMALL and stem(w) not in headings and not any(re.search(p, w) for _, p in AGGREGATE_WORDS)}
         hits = []
         for c in self.region().columns:
             if c.kind in ("category", "text") and not c.identifier:
@@ -128,7 +129,10 @@ class Router:
         r = self.region()
         if r.row_count is None or r.row_count > 2000:
             return []
-        return [x["value"] for x in composite.distinct_values(r, c.name).collect()]
+        key = (r.id, r.revision, c.i)
+        if key not in self.known:
+            self.known[key] = [x["value"] for x in composite.distinct_values(r, c.name).collect()]
+        return self.known[key]
 
     def _repeats(self, c) -> bool:
         return c.kind in ("category", "text") and c.profile.get("distinct", 0) < c.profile.get("non_empty", 0)

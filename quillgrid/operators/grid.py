@@ -89,54 +89,6 @@ def fill(grid: list[list], merges) -> tuple[list[list], dict[str, str]]:
 # ---- headings ---------------------------------------------------------------------------------------------
 
 
-@dataclass
-class Signals:
-    score: float = 0.0
-    numeric: bool = False
-    breaks: float = 0.0
-    density: float = 0.0
-    typed: int = 0
-    vetoed: bool = False
-    labels: str | None = None
-
-
-def signals(row: list, body: list[list]) -> Signals:
-    """How much a row looks like headings over what lies beneath it."""
-    cells = [(c, v) for c, v in enumerate(row) if not blank(v)]
-    if not cells:
-        return Signals()
-    typed = breaks = comparable = 0
-    heads, years, dates = set(), 0, 0
-    for c, head in cells:
-        below = [r[c] for r in body if c < len(r) and not blank(r[c])]
-        if not below:
-            continue
-        comparable += 1
-        share = lambda test: sum(map(bool, map(test, below))) / len(below)  # noqa: E731, B023
-        flags = len(below) >= 3 and share(lambda v: values.py_truth(v) is not None) > 0.9
-        texty = not is_number(head) and not is_date(head) and not (flags and values.py_truth(head) is not None)
-        if share(lambda v: is_number(v) or is_date(v)) > 0.7 or flags:
-            typed += 1
-            breaks += texty
-            year = lambda v: (n := values.read_number(v)) is not None and n.value == int(n.value) and 1900 <= n.value <= 2100
-            if not texty and is_date(head) and share(is_date) < 0.5:
-                dates += 1
-                heads.add(str(head).strip())
-            elif not texty and year(head) and share(year) < 0.5:
-                years += 1
-                heads.add(str(head).strip())
-    texts = [(v.strftime("%Y-%m-%d") if isinstance(v, dt.datetime) else str(v)).strip().lower() for _, v in cells]
-    length = sum(map(len, texts)) / len(texts)
-    score = 0.45 * breaks / typed if typed else 0.0
-    score += 0.2 * len(set(texts)) / len(texts) + 0.15 * len(cells) / len(row) + 0.2 * (1 if 0 < length <= 32 else 0.4 if length <= 60 else 0)
-    plain, numeric = score, all(is_number(v) for _, v in cells)
-    if numeric:
-        score *= 0.3
-    elif typed and breaks / typed < 0.3:
-        score *= 0.6
-    return Signals(min(1.0, score), numeric, breaks / comparable if comparable else 0.0, len(cells) / len(row), typed, not numeric and score < plain and plain >= 0.5 and len(heads) >= 2, ("dates" if dates > years else "years") if heads else None)
-
-
 @dataclass
 class Header:
     rows: int
@@ -154,67 +106,120 @@ def _numbering(row: list) -> bool:
     return len(told) >= 2 and len(marks) == len(told) and all(t.startswith("(") for t in told) and marks == [str(i + int(marks[0])) for i in range(len(marks))]
 
 
+def _rises(row: list) -> bool:
+    """A label and then years that follow each other: headings that look like figures."""
+    filled = [v for v in row if not blank(v)]
+    years = [n.value for v in filled[1:] if (n := values.read_number(v)) and n.style == "plain"]
+    return len(years) >= 2 and len(years) == len(filled) - 1 and not is_number(filled[0]) and 1900 <= years[0] <= years[-1] <= 2100 and all(y == years[0] + k for k, y in enumerate(years))
+
+
+class Evidence:
+    """Per row of a table's top: the typed columns beneath it, and how many of its cells are of another or of the same kind.
+
+    A column is typed from a row on if most filled cells beneath are figures (numbers or dates) or truth words. Counts
+    are carried upward from the last row, so a table is looked through once.
+    """
+
+    FIGURES, WORDS_OF_TRUTH, FEW = 0.7, 0.9, 3
+
+    def __init__(self, rows: list[list], depth: int):
+        width = len(rows[0])
+        self.rows, self.depth = rows, depth
+        self.typed, self.other, self.alike = [0] * depth, [0] * depth, [0] * depth
+        filled, figures, truths = [0] * width, [0] * width, [0] * width
+        for i in range(len(rows) - 1, -1, -1):
+            for c, v in enumerate(rows[i]):
+                if blank(v):
+                    continue
+                figure, truth = is_number(v) or is_date(v), values.py_truth(v) is not None
+                n = filled[c]
+                if i < depth and n:
+                    flags = n >= self.FEW and truths[c] > self.WORDS_OF_TRUTH * n
+                    if flags or figures[c] > self.FIGURES * n:
+                        self.typed[i] += 1
+                        same = truth if flags else figure
+                        hidden = not same and isinstance(v, str) and values.PLACEHOLDER.match(v.strip()) is not None
+                        self.alike[i] += same
+                        self.other[i] += not same and not hidden
+                filled[c] += 1
+                figures[c] += figure
+                truths[c] += truth
+
+    def balance(self, i: int) -> float:
+        """1: all cells over typed columns are labels; -1: all are of their columns' kind; 0 without typed columns."""
+        return (self.other[i] - self.alike[i]) / self.typed[i] if self.typed[i] else 0.0
+
+    def density(self, i: int) -> float:
+        return sum(not blank(v) for v in self.rows[i]) / len(self.rows[i])
+
+    def labels(self, i: int) -> float:
+        """How well a row reads as labels by itself, 0 to 1: words, each once, and short."""
+        cells = [v for v in self.rows[i] if not blank(v)]
+        if not cells:
+            return 0.0
+        told = [str(v).strip().lower() for v in cells]
+        words = sum(not is_number(v) and not is_date(v) for v in cells) / len(cells)
+        return words * len(set(told)) / len(told) * min(1.0, 32 * len(told) / max(1, sum(map(len, told))))
+
+    def scattered(self, i: int) -> bool:
+        """Labels with gaps after them, as a file without merges writes headings of several columns."""
+        at = [c for c, v in enumerate(self.rows[i]) if not blank(v)]
+        return 2 <= len(at) <= len(self.rows[i]) / 2 and at[-1] - at[0] >= len(at)
+
+
 def header(grid: list[list], box, merges=()) -> Header:
-    """The number of heading rows, with the reason, other readings, and whether to ask."""
+    """The number of heading rows, with the reason, other readings, and whether to ask.
+
+    A table with typed columns is read by kinds: the row that most sets itself off from what is beneath it names the
+    columns, and the rows over it belong to it. A table of words only offers little, so its first row is taken for
+    labels and the listener is asked. A row beneath joins only where the row above visibly groups it.
+    """
     top, left, bottom, right = box
     rows = [[grid[r][c] for c in range(left, right + 1)] for r in range(top, bottom + 1)]
-    found = [signals(rows[i], rows[i + 1 :]) for i in range(min(MAX_HEADER, len(rows) - 1))]
-    if not found:
-        return Header(0, 0.5, "a single row, with nothing beneath it to label", [(1, 0.5, "treat the row as a heading")], True)
-    firsts = [str(v).strip().lower() for v in rows[0] if not blank(v)]
-    if len(rows) > 2 and any(f.startswith(("sum of", "count of", "average of")) for f in firsts[:1]) and any(str(v).strip().lower() in ("row labels", "column labels") for r in rows[:2] for v in r if not blank(v)):
-        return Header(2, 0.95, "an Excel PivotTable's headings fill its first two rows")
-    untyped = all(s.typed == 0 for s in found)
-    weight = [s.score - 0.15 * s.density if untyped else s.score for s in found]
-    strength = [s.score + 0.15 * (1 - s.density) if untyped else s.score for s in found]
-    best = max(range(len(found)), key=lambda i: (round(weight[i], 9), -i))
-    if strength[best] < MIN_SCORE:
-        out = Header(0, 1 - strength[best], "no row looks like labels over data")
-        if found[0].numeric or found[0].vetoed:
-            out.alternatives, out.ambiguous = [(1, 0.5, f"read the first row as labels, such as {found[0].labels or 'years'}")], True
-        else:
-            out.alternatives = [(i + 1, s, "read the first row as labels" if i == 0 else f"read the first {i + 1} rows as headings") for i, s in enumerate(strength) if (s > 0.35 if i == best else s >= MIN_SCORE)]
-            out.ambiguous = bool(out.alternatives)
-        return out
-
-    def spans(r: int) -> bool:
-        return any(m[0] <= r <= m[2] and m[3] > m[1] for m in merges)
-
-    def grouped(i: int) -> bool:
-        filled = [c for c, v in enumerate(rows[i]) if not blank(v)]
-        return len(filled) >= 2 and len(filled) * 2 <= len(rows[i]) and filled[-1] - filled[0] + 1 > len(filled)
-
-    last, by = best, ""
-    while last + 1 < len(found) and strength[last + 1] >= MIN_SCORE:
-        if spans(top + last):
-            by = "a heading spans several columns"
-        elif not untyped and found[last].density < found[last + 1].density:
-            by = "a grouping row sits above a denser one"
-        elif untyped and grouped(last):
-            by = "group labels each cover several columns"
-        else:
-            break
+    depth = min(MAX_HEADER, len(rows) - 1)
+    if depth < 1:
+        return Header(0, 0.5, "there is one row only", [(1, 0.5, "take that row for headings")], True)
+    corner = [next((str(v).strip().lower() for v in r if not blank(v)), "") for r in rows[:2]]
+    if len(rows) > 2 and re.match(r"(?:sum|count|average|max|min) of ", corner[0]) and corner[1] == "row labels":
+        return Header(2, 0.95, "a pivot table has two heading rows")
+    e = Evidence(rows, depth)
+    by_kind = any(e.typed)
+    rank = [(e.balance(i), e.other[i]) if by_kind else (e.labels(i) if i == 0 or e.scattered(i - 1) else 0.0, 0) for i in range(depth)]
+    names_at = max(range(depth), key=lambda i: (*rank[i], -i))
+    if rank[names_at][0] < MIN_SCORE:
+        return _without(e, rank[names_at][0])
+    last = names_at
+    spanning = lambda i: any(m[0] <= top + i <= m[2] and m[1] < m[3] for m in merges)
+    while last + 1 < depth and (rank[last + 1][0] >= MIN_SCORE) and (spanning(last) or (e.density(last) < e.density(last + 1) if by_kind else e.scattered(last))):
         last += 1
     n = last + 1
-    score = strength[last]
-    stacked = "headings are stacked above the row that names the values"
-    why = ("labels sit above values of a different kind" if found[0].breaks > 0 else "the first row reads as labels") if last == 0 else f"{stacked}, and {by}" if by and best else stacked if best else f"{by}, over a row of labels"
-    if n < MAX_HEADER and n < len(found) and _numbering(rows[n]):
-        n, why = n + 1, f"{why}, and the row under them numbers the columns"
+    said = "its cells are words over figures" if by_kind else "it reads as labels"
+    why = said if n == 1 else f"{said}, with {n - 1} row{'s' if n > 2 else ''} of groups above"
+    if n < depth and _numbering(rows[n]):
+        n, why = n + 1, f"{why}; the row beneath numbers the columns"
+    score = 0.5 + 0.5 * rank[last][0] * max(0.5, e.labels(last)) if by_kind else 0.55 * rank[last][0]
     out = Header(n, score, why, ambiguous=score < SURE)
-    if score < SURE:
-        if n > 1:
-            out.alternatives.append((1, strength[0], "read only the first row as headings"))
-        out.alternatives.append((0, 1 - score, "treat every row as data"))
-        if n < min(MAX_HEADER, len(found)):
-            out.alternatives.append((n + 1, strength[n], "take one more row as a second heading level"))
-    if n < len(rows):
-        figures = [x.value for v in rows[n] if (x := values.read_number(v)) and x.style == "plain"]
-        years = len(figures) >= 2 and all(1900 <= y <= 2100 and y == int(y) for y in figures) and all(b == a + 1 for a, b in zip(figures, figures[1:], strict=False))
-        first = next((v for v in rows[n] if not blank(v)), None)
-        if years and isinstance(first, str) and not is_number(first) and n < min(MAX_HEADER, len(found)) and not any(a[0] == n + 1 for a in out.alternatives):
-            out.alternatives.insert(0, (n + 1, 0.5, "take one more row as a second heading level"))
-            out.ambiguous = True
+    if out.ambiguous:
+        out.alternatives = [(k, s, w) for k, s, w in ((1, 0.5, "take the first row alone"), (0, 1 - score, "take all rows as data"), (n + 1, 0.4, "take one row more for headings")) if k != n and k <= depth]
+    if n < depth and _rises(rows[n]):
+        out.alternatives = [(n + 1, 0.5, "take the row of years for headings too"), *(x for x in out.alternatives if x[0] != n + 1)]
+        out.ambiguous = True
+    return out
+
+
+def _without(e: Evidence, strength: float) -> Header:
+    """No row sets itself off; headings that are years, dates or other figures can't, so those are asked about."""
+    out = Header(0, 1 - max(0.0, strength), "no row sets itself off from those beneath")
+    first = [v for v in e.rows[0] if not blank(v)]
+    figures = sum(is_number(v) or is_date(v) for v in first)
+    if e.depth > 1 and _rises(e.rows[1]):
+        out.alternatives = [(2, 0.5, "take the row of years for headings too")]
+    elif first and (figures == len(first) or _rises(e.rows[0]) or (figures >= 2 and is_date(first[-1]) and not is_date(first[0]) and e.alike[0])):
+        out.alternatives = [(1, 0.5, "take the first row for labels, such as years or dates")]
+    elif e.labels(0) > 0.35:
+        out.alternatives = [(1, e.labels(0), "take the first row for labels")]
+    if out.alternatives:
+        out.ambiguous, out.score = True, min(out.score, 0.65)
     return out
 
 

@@ -184,3 +184,36 @@ def test_report(spark, tmp_path, capsys):
     assert list(ingest.load(spark, out).tables) == ["sales"]
     assert report.main([f"{tmp_path}/sales.csv", f"{tmp_path}/none.csv", "--out", out + "2"], spark) == 1
     assert "Nothing written" in capsys.readouterr().err and not (tmp_path / "index2").exists()
+
+
+def headings(text, merges=()):
+    rows, _ = g.fill([[c or None for c in line.split(",")] for line in text.split("/")], merges)
+    return g.header(rows, (0, 0, len(rows) - 1, len(rows[0]) - 1), merges)
+
+
+def test_headings_by_what_sets_them_off():
+    sure = {
+        "Region,Rep,Revenue/North,Anh,12400/North,Bao,8150/South,Chi,21000": 1,
+        ",Q1,Q2,Q3/Region,Revenue,Revenue,Revenue/North,1200,1400,1500/South,900,950,1100/East,700,820,910": 2,
+        "Name,Score/Anh,n/a/Bao,5/Chi,7/Dan,8".replace("n/a", "tbd"): 1,
+        "Name,Paid/A,yes/B,no/C,yes/D,yes": 1,
+        "STT,Name,Pay/(1),(2),(3)/1,Anh,500/2,Bao,600/3,Chi,700": 2,
+        "Sum of Revenue,Column Labels,/Row Labels,2023,2024/North,1,2/South,3,4": 2,
+    }
+    for text, n in sure.items():
+        found = headings(text)
+        assert (found.rows, found.ambiguous) == (n, False), (text, found)
+    asked = {
+        "Region,2024,2025,2026/North,1,2,3/South,4,5,6": (0, 1),
+        "1,2,3/4,5,6/7,8,9": (0, 1),
+        "Contact,,Location,/Name,Email,City,Country/Anh,a@x,Hue,VN/Bo,b@x,Hanoi,VN/Chi,c@x,Hue,VN": (2, 1),
+        "Note,Status/Q3 close,pending": (1, 0),
+        ",Mon,Tue/Anh,Gym,Rest/Bao,Run,Swim": (1, 0),
+        "Value,,/Row Labels,2023,2024/North,10,20/South,30,40": (0, 2),
+        "a,b": (0, 1),
+    }
+    for text, (n, other) in asked.items():
+        found = headings(text)
+        assert found.rows == n and found.ambiguous and found.alternatives[0][0] == other and found.score < g.SURE, (text, found)
+    found = headings(",2026,,2025,/,Q1,Q2,Q1,Q2/Region,Revenue,Revenue,Revenue,Revenue/North,1200,1400,1100,1000/South,900,950,800,850", [(0, 1, 0, 2), (0, 3, 0, 4)])
+    assert found.rows == 3 and not found.ambiguous
