@@ -1,11 +1,16 @@
 """Personal data found by pattern, and the terms around it that give it away, in DataFrame operations only.
 
 Patterns find the base kinds (e-mail and IP addresses, card and phone numbers). Every value found is an entity
-to protect. The corpus then tells how strongly a term reveals an entity: with n(t) occurrences of a term in all
-texts, n(t, e) of them beside the entity, n(e) occurrences of the entity and N terms in all, the pointwise
-mutual information PMI(t; e) = log(N n(t, e) / (n(t) n(e))) is compared with the information IC(e) = log(N / n(e))
-of the entity itself. A term whose PMI reaches GENERALISE of the entity's information is generalised where it
-stands beside it, one that reaches REMOVE is removed; a term needs SUPPORT occurrences beside the entity.
+to protect. The corpus then tells how strongly a term, a run of letters of any length, reveals an entity: with
+n(t) occurrences of a term in all texts, n(t, e) of them in texts that hold the entity, n(e) occurrences of the
+entity and N terms in all, the pointwise mutual information PMI(t; e) = log(N n(t, e) / (n(t) n(e))) is compared
+with the information IC(e) = log(N / n(e)) of the entity itself. A term whose PMI reaches GENERALISE of the
+entity's information is generalised wherever it stands in a text that holds the entity, one that reaches REMOVE is
+removed; a term needs SUPPORT occurrences in such texts. Parts of base values are not terms.
+
+Entities that the same texts hold differ by n(e) alone, and a term that reaches a share for one of them reaches it
+for the rarest: they are one group with the least n(e), so that a text with many values of its own, or copies of
+it, is met once a term, not once a term and value.
 
 Positions come from two regular passes that stop at the same places: the pieces between matches (split) and the
 matches themselves. Patterns start at the front of a run of characters or where the last match ended, and
@@ -28,9 +33,9 @@ PATTERNS = (
     r"[0-9](?:[ -]?[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
-TERM = r"\p{L}[\p{L}\p{M}\p{N}]{3,}+"
-#: Characters on either side of an entity that count as beside it.
-REACH = 60
+TERM = r"\p{L}[\p{L}\p{M}\p{N}]*+"
+#: Pieces that together are a text and don't cut a term; terms are placed piece by piece, in linear time.
+_PIECE = r"(?s).{1,400}+[\p{L}\p{M}\p{N}]*+"
 GENERALISE, REMOVE, SUPPORT = 0.9, 0.99, 2
 MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
@@ -87,25 +92,36 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(of, range(4))))
 
 
-def _beside(text: Column, base: Column) -> Column:
-    """array<struct<entity, term, start, end>>: whole terms within REACH of an entity and outside all spans."""
-    size = F.length(text)
+def _blanked(text: Column, base: Column) -> Column:
+    """text with a space for each character of its base spans."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blanks).alias("out"))
+
+    whole = F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, whole).otherwise(text)
+
+
+def _places(text: Column) -> Column:
+    """array<struct<term, start, end>>: all terms of a text, in lower case."""
 
-    def around(b: Column) -> Column:
-        low, high = F.greatest(b["start"] - REACH, F.lit(0)), F.least(b["end"] + REACH, size)
+    def piece(p: Column) -> Column:
+        at = lambda x: p["start"] + x["start"]
+        return F.transform(placed(p["value"], TERM), lambda x: F.struct(F.lower(x["value"]).alias("term"), at(x).alias("start"), (at(x) + F.length(x["value"])).alias("end")))
 
-        def side(a: Column, z: Column) -> Column:
-            term = lambda x: F.struct(
-                F.xxhash64(b["kind"], b["value"]).alias("entity"), F.lower(x["value"]).alias("term"), (a + x["start"]).alias("start"), (a + x["start"] + F.length(x["value"])).alias("end")
-            )
-            return F.transform(placed(F.substring(text, a + 1, z - a), TERM), term)
+    return F.flatten(F.transform(placed(text, _PIECE), piece))
 
-        near = F.concat(side(low, b["start"]), side(b["end"], high))
-        whole = lambda t: ((t["start"] > low) | (low == 0)) & ((t["end"] < high) | (high == size))
-        return F.filter(near, whole)
 
-    free = lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return F.filter(F.flatten(F.transform(base, around)), free)
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, groups) of the texts with an entity and (group, n_e): entities that the same texts hold are a group."""
+    held = written(rows.select("key", F.explode("base").alias("b")).groupBy(F.xxhash64("b.kind", "b.value").alias("entity"), "key").agg(F.count("*").alias("n")), "entities")
+    texts = F.xxhash64(F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(1))), F.count("*"))
+    entities = written(held.groupBy("entity").agg(texts.alias("group"), F.sum("n").alias("n_e")), "groups")
+    of = held.select("entity", "key").join(entities.select("entity", "group"), "entity").groupBy("key").agg(F.collect_set("group").alias("groups"))
+    return of, entities.groupBy("group").agg(F.min("n_e").alias("n_e"))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -115,23 +131,32 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     spans. keep_text: carry all columns (those named base or more are replaced), otherwise the id alone.
     """
     keep = [c for c in docs.columns if c.lower() not in ("base", "more")] if keep_text else [id_col]
-    text, key, near, of, added = (fresh(docs, x) for x in ("text", "key", "near", "of", "added"))
+    text, key, blank, of, added = (fresh(docs, x) for x in ("text", "key", "blank", "of", "added"))
     rows = docs.select(*map(col, keep), F.coalesce(col(text_col).cast("string"), F.lit("")).alias(text), F.md5(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary")).alias(key))
     rows = rows.withColumn("base", base_spans(col(text)))
-    kind = "array<struct<entity:bigint,term:string,start:int,end:int>>"
-    rows = rows.withColumn(near, F.when(F.size("base") > 0, _beside(col(text), F.col("base"))).otherwise(F.array().cast(kind)))
+    rows = rows.withColumn(blank, F.when(F.size("base") > 0, F.struct(col(text).alias("text"), _blanked(col(text), F.col("base")).alias("blank"))))
     rows = written(rows.drop(text), "spans")
 
-    beside = rows.where(F.size(near) > 0).select(col(key).alias("key"), F.explode(near).alias("n")).select("key", "n.*")
-    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    entities = rows.where(F.size("base") > 0).select(F.explode("base").alias("b")).groupBy(F.xxhash64("b.kind", "b.value").alias("entity")).agg(F.count("*").alias("n_e"))
-    pairs = written(pairs.join(entities, "entity"), "pairs")
-    terms = docs.select(F.explode(F.regexp_extract_all(F.lower(col(text_col).cast("string")), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = written(terms.groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+    holding = rows.where(F.size("base") > 0).select(col(key).alias("key"), "base", col(blank).alias("t"))
+    of_text, n_e = _groups(holding)
+    texts = holding.groupBy("key").agg(F.max("t").alias("t"), F.count("*").alias("times")).join(of_text, "key").select("key", "t.*", "times", "groups")
+    texts = written(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "texts")
+    # explode_outer: plain explode evaluates its array three times, for a filter too
+    each = lambda name: F.explode_outer(F.regexp_extract_all(col(name).cast("string"), F.lit(TERM), F.lit(0))).alias("term")
+    said = texts.select("groups", "times", each("blank"))
+    pairs = said.select(F.explode("groups").alias("group"), F.lower("term").alias("term"), "times").groupBy("group", "term").agg(F.sum("times").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    pairs = written(pairs.join(n_e, "group"), "pairs")
+    # all terms of all texts, less those of texts with an entity, and their terms outside base values
+    terms = docs.select(each(text_col), F.lit(1).cast("long").alias("n")).unionAll(texts.select(each("text"), -F.col("times"))).unionAll(texts.select(each("blank"), "times"))
+    terms = terms.where("term is not null").groupBy(F.lower("term").alias("term")).agg(F.sum("n").alias("n_t")).where("n_t > 0")
+    terms = written(terms, "terms")
     total = terms.agg(F.sum("n_t")).first()[0] or 1
     told = pairs.join(terms, "term").withColumn("told", 1 - F.log(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log(F.greatest(F.lit(float(total)) / F.col("n_e"), F.lit(math.e))))
-    told = told.where(F.col("told") >= GENERALISE).select("entity", "term", F.when(F.col("told") >= REMOVE, 5).otherwise(4).alias("kind"))
-    more = beside.join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias(added)).withColumnRenamed("key", of)
+    told = told.where(F.col("told") >= GENERALISE).select("group", "term", F.when(F.col("told") >= REMOVE, 5).otherwise(4).alias("kind"))
+    told = written(told, "told")  # a table, so that the join below may split a term of many texts
+    places = texts.select("key", "groups", F.explode_outer(_places(F.col("blank"))).alias("p")).select("key", F.explode("groups").alias("group"), "p.*")
+    more = places.join(told, ["group", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    more = more.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias(added)).withColumnRenamed("key", of)
     more = more.withColumn(added, F.array_sort(added))
     more = written(more, "revealing")
     bare = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))

@@ -374,6 +374,40 @@ def test_pii_terms(spark, docs, clashing, none):
     assert pii.found(docs).count() == len(rows())
 
 
+def test_pii_terms_anywhere(spark):
+    """A told term goes wherever it stands in a text with the entity, whatever its length; brute force over the corpus."""
+    gap = " the usual words of a report are here and there" * 3
+    filler = [f"{gap} {i} at on Bob ask or" for i in range(200)]
+    told = [f"Kim, 李明 {i}{gap} ask kim@agent.org or +1 (499) 555-6503 {i}\n{gap} Kim\tZANZIBAR 🙂 Ng" for i in range(4)]
+    other = ["Bob wrote to bob@x.org", "Ng alone, without an address"]
+    all_texts = filler + told + other + [told[0]]
+    df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.found(df).collect()}
+
+    def terms(t):
+        for a, _, z in plain_spans(t):
+            t = t[:a] + " " * (z - a) + t[z:]
+        return [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]\w*", t)]
+
+    n_t, n_te, n_e = {}, {}, {}
+    for t in all_texts:
+        held = [t[a:z] for a, _, z in plain_spans(t)]
+        for e in held:
+            n_e[e] = n_e.get(e, 0) + 1
+        for w, *_ in terms(t):
+            n_t[w] = n_t.get(w, 0) + 1
+            for e in set(held):
+                n_te[w, e] = n_te.get((w, e), 0) + 1
+    total = sum(n_t.values())
+    share = {(w, e): 1 - np.log(n_t[w] / n) / np.log(max(total / n_e[e], np.e)) for (w, e), n in n_te.items() if n >= 2}
+    for i, t in enumerate(all_texts):
+        held = {t[a:z] for a, _, z in plain_spans(t)}
+        best = [(a, max((share.get((w, e), 0) for e in held), default=0), z) for w, a, z in terms(t)]
+        assert [(s.start, s.kind, s.end) for s in got[i].more] == [(a, 5 if x >= 0.99 else 4, z) for a, x, z in best if x >= 0.9], t
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert not re.search("Kim|李明|ZANZIBAR", clean[200] + clean[206]) and "usual words" in clean[200] and clean[205] == other[1]
+
+
 # ---- packing ----
 
 
