@@ -1,9 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences (at a full stop, question or exclamation mark before white space, and at line
-ends). Every sentence but the last few starts a run: as many sentences as hold MIN_WORDS words, MIN_SENTENCES
-at least. Runs are compared over the corpus by a 128-bit digest of their words, and a sentence goes if a run
-covers it that is not the first of its kind; first is the least (document id, digest of the text, place).
+ends). A run is a passage of whole sentences with MIN_WORDS words at least, be it one sentence, or a whole text
+with fewer. Every sentence starts the shortest run from there and ends the shortest run up to there; together
+these cover whatever longer runs share. Runs are compared over the corpus by a 128-bit digest of their words, and
+a sentence goes if a run covers it that is not the first of its kind; first is the least (document id, digest of
+the text, place).
 
 Digests are first counted as 64-bit numbers with partial sums, so that only runs that occur again are dealt
 out with their places; a run of a third of all documents is one row a task by then.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_function, col, utf8, written
 
-MIN_SENTENCES, MIN_WORDS = 2, 12
+MIN_WORDS = 12
 _BREAK = re.compile("(?:[.!?]+[\"')\\]]*[ \\t\\r\\x0b\\x0c]+|[.!?]*\\s*\\n\\s*|[。！？]+\\s*)".encode())
 
 
@@ -41,21 +43,33 @@ def sentences(text: bytes | None) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: bytes, places: list[tuple[int, int]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+def runs(text: bytes, places: list[tuple[int, int]], min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     """(128-bit digest, first sentence, sentence after the last) of the runs of a text."""
     words = [text[a:b].split() for a, b in places]
     plain = list(map(b" ".join, words))
     sizes = list(map(len, words))
-    out, j, held = [], 0, 0
-    for i in range(len(words)):
-        while j < len(words) and (held < min_words or j - i < min_sentences):
-            held += sizes[j]
-            j += 1
-        if held < min_words or j - i < min_sentences:
-            break
-        out.append((xxhash.xxh3_128_digest(b" ".join(plain[i:j])), i, j))
-        held -= sizes[i]
-    return out
+    n = len(sizes)
+    lead = int(n > 1 and not sizes[0])  # white space at the front is no sentence of its own
+    found: set[tuple[int, int]] = set()
+    i, held = lead, 0
+    for j in range(lead, n):  # [i, j] grows at its end and shrinks to the shortest that is long enough
+        held += sizes[j]
+        while held - sizes[i] >= min_words:
+            held -= sizes[i]
+            i += 1
+        if held >= min_words:
+            found.add((i, j + 1))
+    j, held = n, 0
+    for i in range(n - 1, lead - 1, -1):
+        held += sizes[i]
+        while held - sizes[j - 1] >= min_words:
+            j -= 1
+            held -= sizes[j]
+        if held >= min_words:
+            found.add((i, j))
+    if not found and any(sizes):
+        found.add((lead, n))
+    return [(xxhash.xxh3_128_digest(b" ".join(plain[i:j])), 0 if i == lead else i, j) for i, j in sorted(found)]
 
 
 @arrow_function("array<struct<h:long,g:long,i:int,j:int>>")

@@ -317,6 +317,33 @@ def test_spans_brute_force(docs, none):
     assert spans.deduplicated(docs).count() == len(rows()) and spans.deduplicated(none).count() == 0
 
 
+def test_spans_whole_passages(spark):
+    """Against all passages of whole sentences that are long enough, enumerated here; copies go whole."""
+    rng = random.Random(7)
+    tail = sentence(rng, 14) + " " + sentence(rng, 9) + " Short end. Bye."
+    one, few = sentence(rng, 20), "Three words only."
+    made = [tail, sentence(rng, 13) + " " + tail, tail + " " + sentence(rng, 30), one, sentence(rng, 3) + " " + one + " " + sentence(rng, 4), few, "Other few words.", " \n" + one, "", None]
+    made += [" ".join(rng.choice(("A b c d.", "E f g.", "H i j k l!", "M n o p q r s t u v w x y z.")) for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    items = list(enumerate(made + made[:6]))
+    seen, cut, gone = {}, {}, {}
+    for d, t in items:
+        raw = (t or "").encode()
+        cut[d] = [raw[a:z] for a, z in spans.sentences(raw)]
+        words = [x.split() for x in cut[d]]
+        first = int(len(words) > 1 and not words[0])
+        for i in range(first, len(words)):
+            for j in range(i + 1, len(words) + 1):
+                run = sum(words[i:j], [])
+                if len(run) >= 12 or run and i == first and j == len(words):
+                    seen.setdefault((tuple(run), len(run) < 12), []).append((d, 0 if i == first else i, j))
+    for at in seen.values():
+        for d, i, j in sorted(at)[1:]:
+            gone.setdefault(d, set()).update(range(i, j))
+    want = {d: b"".join(x for k, x in enumerate(cut[d]) if k not in gone.get(d, ())).decode() for d, _ in items}
+    got = {r.doc_id: r.kept or "" for r in spans.deduplicated(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    assert got == want and all(got[d] == "" for d in range(len(made), len(items)))
+
+
 # ---- personal data ----
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
