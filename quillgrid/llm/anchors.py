@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, GRAM = 400, 128
+#: Bytes of the passages that are removed; of the windows that anchors tell apart; of an anchor.
+WIDTH, SHORT, GRAM = 400, 256, 64
 _PLACE = 20
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -36,7 +37,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def anchors(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, width: int = SHORT, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(digest of the anchor, first window, last window) of each run of windows with the same anchor.
 
     Texts are taken in slices of 2 ** 20 windows; a run is cut where a slice ends, by an offset that is no part of

@@ -6,26 +6,68 @@ sorted by the same algorithm, recursively. The others are induced: a pass upward
 puts the L suffix before each into a priority queue by its first number; a pass downwards does the same for the
 S suffixes. Queue items are tuples (place, common prefix with the item before). A common prefix is one more than
 the least of those that lie between the two suffixes from which two neighbours were induced; a stack of minima
-over the pass answers that. Queues and lists hold a bounded number of items and keep the rest in files.
+over the pass answers that.
+
+Memory holds ``held`` items of a queue, a list or a sort and no more: queues and lists write runs to files, the
+substrings are sorted in runs that are merged, and every array with an entry for each number (the string itself,
+its kinds, places, names, prefixes) is a mapped file once it is longer than that.
 """
 
 from __future__ import annotations
 
 import heapq
+import marshal
 import tempfile
 from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Items that a queue or a list holds in memory.
+#: Items that a queue, a list or a sort holds in memory.
 HELD = 1 << 20
+_BLOCK = 4096
+
+
+def numbers(n: int, kind=np.int64, folder: str | None = None, held: int = HELD) -> np.ndarray:
+    """An array of n zeros; a mapped file without a name if n is over ``held``."""
+    if n <= held:
+        return np.zeros(n, dtype=kind)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        f.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(f, dtype=kind, mode="r+", shape=(n,))
+
+
+class Grown:
+    """An array that is appended to, in memory up to ``held`` entries, then in a file."""
+
+    def __init__(self, kind=np.int64, folder: str | None = None, held: int = HELD):
+        self.kind, self.folder, self.held, self.parts, self.n, self.file = np.dtype(kind), folder, held, [], 0, None
+
+    def append(self, part: np.ndarray) -> None:
+        self.n += len(part)
+        if self.file is None and self.n > self.held:
+            self.file = tempfile.TemporaryFile(dir=self.folder)
+            for p in self.parts:
+                self.file.write(p.tobytes())
+            self.parts = []
+        if self.file is None:
+            self.parts.append(np.asarray(part, dtype=self.kind))
+        else:
+            self.file.write(np.asarray(part, dtype=self.kind).tobytes())
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([np.zeros(0, self.kind), *self.parts])
+        self.file.flush()
+        return np.memmap(self.file, dtype=self.kind, mode="r+", shape=(self.n,))
 
 
 class DiskList:
     """Rows of two numbers, appended and read again forwards or backwards, in blocks that go to a file."""
 
     def __init__(self, folder: str | None = None, held: int = HELD):
-        self.folder, self.held, self.rows, self.file, self.blocks = folder, held, [], None, []
+        self.folder, self.held, self.rows, self.file, self.blocks = folder, min(held, 1 << 16), [], None, []
 
     def append(self, row: tuple[int, int]) -> None:
         self.rows.append(row)
@@ -52,83 +94,91 @@ class DiskList:
             yield from reversed(self._block(*b))
 
 
+class _Run:
+    """Items of a queue in a file, by key, read a block at a time; key is that of the next item."""
+
+    def __init__(self, lists: dict[int, deque], folder: str | None):
+        self.file, self.rows, self.key = tempfile.TemporaryFile(dir=folder), [], None
+        rows = []
+        for key in sorted(lists):
+            for item in lists[key]:
+                rows.append((key, *item))
+                if len(rows) >= _BLOCK:
+                    self.file.write(np.array(rows, dtype=np.int64).tobytes())
+                    rows = []
+        if rows:
+            self.file.write(np.array(rows, dtype=np.int64).tobytes())
+        self.file.seek(0)
+        self._next()
+
+    def _next(self) -> None:
+        if not self.rows:
+            self.rows = np.frombuffer(self.file.read(24 * _BLOCK), dtype=np.int64).reshape(-1, 3).tolist()[::-1]
+        self.key = self.rows[-1][0] if self.rows else None
+        if self.key is None:
+            self.file.close()
+
+    def take(self) -> tuple[int, int]:
+        _, place, prefix = self.rows.pop()
+        self._next()
+        return place, prefix
+
+
 class DiskQueue:
     """A priority queue: items come out by key, those of a key in the order they came in.
 
-    In memory a list for each key and a heap of keys; beyond ``held`` items all are written, by key, as a run.
-    Runs are older than what is in memory and are merged by their keys.
+    Keys are never less than the one taken last. In memory a line for each key and a heap of keys; at ``held``
+    items all are written, by key, as a run. Runs are older than what is in memory, the first the oldest.
     """
 
     def __init__(self, folder: str | None = None, held: int = HELD):
         self.folder, self.held, self.n = folder, held, 0
-        self.lists: dict[int, list] = {}
+        self.lines: dict[int, deque] = {}
         self.keys: list[int] = []
-        self.runs: list = []
+        self.runs: list[_Run] = []
+        self.heads: list[tuple[int, int]] = []  # (key of its next item, run)
 
     def push(self, key: int, item: tuple[int, int]) -> None:
-        held = self.lists.get(key)
-        if held is None:
-            self.lists[key] = [item]
+        line = self.lines.get(key)
+        if line is None:
+            self.lines[key] = deque((item,))
             heapq.heappush(self.keys, key)
         else:
-            held.append(item)
+            line.append(item)
         self.n += 1
         if self.n >= self.held:
-            self._spill()
-
-    def _spill(self) -> None:
-        out = tempfile.TemporaryFile(dir=self.folder)
-        index = []
-        for key in sorted(self.lists):
-            block = np.array(self.lists[key], dtype=np.int64).tobytes()
-            index.append((key, out.tell(), len(block)))
-            out.write(block)
-        self.runs.append([out, index[::-1]])
-        self.lists, self.keys, self.n = {}, [], 0
+            run = _Run(self.lines, self.folder)
+            if run.key is not None:
+                heapq.heappush(self.heads, (run.key, len(self.runs)))
+                self.runs.append(run)
+            self.lines, self.keys, self.n = {}, [], 0
 
     def least(self) -> int | None:
-        keys = [r[1][-1][0] for r in self.runs if r[1]] if self.runs else []
-        if self.keys:
-            keys.append(self.keys[0])
-        return min(keys) if keys else None
+        if not self.heads:
+            return self.keys[0] if self.keys else None
+        return min(self.heads[0][0], self.keys[0]) if self.keys else self.heads[0][0]
 
     def take(self, key: int):
         """The items of a key, those included that come in meanwhile."""
-        for out, index in self.runs:
-            if index and index[-1][0] == key:
-                _, at, size = index.pop()
-                out.seek(at)
-                yield from np.frombuffer(out.read(size), dtype=np.int64).reshape(-1, 2).tolist()
         while True:
-            held = self.lists.get(key)
-            if held is None:
-                late = [r for r in self.runs if r[1] and r[1][-1][0] == key]
-                if not late:
-                    break
-                yield from self.take(key)
-                break
-            k = 0
-            while k < len(held):
-                yield held[k]
-                k += 1
-                if self.lists.get(key) is not held:  # written to a run meanwhile
-                    break
-            if self.lists.get(key) is held:
-                del self.lists[key]
-                if self.keys and self.keys[0] == key:
-                    heapq.heappop(self.keys)
-                else:
-                    self.keys.remove(key)
-                    heapq.heapify(self.keys)
-                self.n -= len(held)
-                break
-            run = self.runs[-1]
-            skip = k * 16
-            if run[1] and run[1][-1][0] == key:
-                _, at, size = run[1].pop()
-                run[1].append((key, at + skip, size - skip))
-                if size == skip:
-                    run[1].pop()
+            if self.heads and self.heads[0][0] == key:
+                _, k = heapq.heappop(self.heads)
+                run = self.runs[k]
+                while run.key == key:
+                    yield run.take()
+                if run.key is not None:
+                    heapq.heappush(self.heads, (run.key, k))
+                continue
+            line = self.lines.get(key)
+            if line is None:
+                return
+            while line and self.lines.get(key) is line:
+                self.n -= 1
+                yield line.popleft()
+            if self.lines.get(key) is line:
+                del self.lines[key]
+                heapq.heappop(self.keys)
+                return
 
 
 class Minima:
@@ -156,46 +206,71 @@ def common(text, i: int, j: int) -> int:
     return k
 
 
-def sort(text: list[int], folder: str | None = None, held: int = HELD):
+def _read(file, n: int) -> Iterator[tuple[bytes, int]]:
+    file.seek(0)
+    for _ in range(n):
+        yield from marshal.load(file)
+
+
+def in_order(rows: Iterable[tuple[bytes, int]], folder: str | None = None, held: int = HELD) -> Iterator[tuple[bytes, int]]:
+    """Rows (key, number) in order: runs of ``held`` rows or eight times as many bytes, sorted, in files, merged."""
+    runs, some, size = [], [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[0])
+        if len(some) >= held or size >= 8 * held:
+            some.sort()
+            file = tempfile.TemporaryFile(dir=folder)
+            for at in range(0, len(some), _BLOCK):
+                marshal.dump(some[at : at + _BLOCK], file)
+            runs.append(_read(file, -(-len(some) // _BLOCK)))
+            some, size = [], 0
+    some.sort()
+    return heapq.merge(*runs, some) if runs else iter(some)
+
+
+def _kinds(text: np.ndarray, kinds: np.ndarray, step: int = 1 << 18) -> None:
+    """1 for S, 0 for L, from the end."""
+    n = len(text)
+    kinds[n - 1] = 1
+    for z in range(n - 1, 0, -step):
+        a = max(0, z - step)
+        here, after = np.asarray(text[a:z]), np.asarray(text[a + 1 : z + 1])
+        decides = np.where(here == after, z, np.arange(a, z))
+        decides = np.minimum.accumulate(decides[::-1])[::-1]
+        kinds[a:z] = np.r_[here < after, bool(kinds[z])][decides - a]
+
+
+def sort(text: np.ndarray, folder: str | None = None, held: int = HELD):
     """Yields (place, common prefix with the suffix yielded before) of all suffixes, the greatest first.
 
-    text: numbers from 0 up, whose last is 0 and the only 0.
+    text: 64-bit numbers from 0 up, whose last is 0 and the only 0.
     """
     n = len(text)
     if n == 1:
         yield 0, 0
         return
-    kinds = bytearray(n)  # 1: S
-    kinds[n - 1] = 1
-    stars = [n - 1]
-    after, s = text[n - 1], 1
-    for i in range(n - 2, -1, -1):
-        c = text[i]
-        t = 1 if c < after or (c == after and s) else 0
-        kinds[i] = t
-        if s and not t:
-            stars.append(i + 1)
-        after, s = c, t
-    stars = stars[:0:-1] + [n - 1] if stars[0] == n - 1 and (len(stars) == 1 or stars[1] != n - 1) else list(dict.fromkeys(stars))[::-1]
-
-    names, order, prefixes = _named(text, kinds, stars)
-    if names is not None:
-        found = list(sort(names, folder, held))[::-1]  # least first
-        order = [k for k, _ in found]
-        prefixes, m = [0] * len(order), len(stars)
-        for r in range(1, len(order)):
-            a, b, same = order[r - 1], order[r], found[r - 1][1]
-            i, j = stars[a], stars[b]
-            ahead = (stars[a + same] if a + same < m else n) - i
-            prefixes[r] = ahead + common(text, i + ahead, j + ahead)
+    kind_of = numbers(n, np.int8, folder, held)
+    _kinds(text, kind_of)
+    found = Grown(np.int64, folder, held)
+    most, step = 0, 1 << 18
+    for a in range(0, n, step):
+        k = np.asarray(kind_of[max(0, a - 1) : a + step])
+        found.append(np.flatnonzero((k[1:] == 1) & (k[:-1] == 0)) + max(1, a))
+        most = max(most, int(np.max(text[a : a + step])))
+    star_at = found.array()
+    m = len(star_at)
+    order_of, prefix_of = _ordered(text, kind_of, star_at, folder, held)
+    text, kinds, stars, order, prefixes = map(memoryview, (text, kind_of, star_at, order_of, prefix_of))
 
     # upwards: L suffixes
     up, large, minima, time = DiskQueue(folder, held), DiskList(folder, held), Minima(), 0
-    pushed: dict[int, int] = {}
-    star, count = 0, len(order)
+    last_of = numbers(most + 1, np.int64, folder, held)
+    pushed = memoryview(last_of)  # one more than the time of the last push of a number
+    star = 0
     while True:
         key = up.least()
-        head = text[stars[order[star]]] if star < count else None
+        head = text[stars[order[star]]] if star < m else None
         if key is None and head is None:
             break
         c = key if head is None or (key is not None and key <= head) else head
@@ -207,27 +282,27 @@ def sort(text: list[int], folder: str | None = None, held: int = HELD):
                 last = i
                 if i and not kinds[i - 1]:
                     d = text[i - 1]
-                    before = pushed.get(d)
-                    up.push(d, (i - 1, 0 if before is None else 1 + minima.after(before)))
-                    pushed[d] = time
+                    before = pushed[d]
+                    up.push(d, (i - 1, 1 + minima.after(before - 1) if before else 0))
+                    pushed[d] = time + 1
                 time += 1
         first = True
-        while star < count and text[stars[order[star]]] == c:
+        while star < m and text[stars[order[star]]] == c:
             i = stars[order[star]]
             lcp = prefixes[star] if not first else 0 if last is None else common(text, last, i)
             minima.tell(time, lcp)
             first = False
             if i and not kinds[i - 1]:
                 d = text[i - 1]
-                before = pushed.get(d)
-                up.push(d, (i - 1, 0 if before is None else 1 + minima.after(before)))
-                pushed[d] = time
+                before = pushed[d]
+                up.push(d, (i - 1, 1 + minima.after(before - 1) if before else 0))
+                pushed[d] = time + 1
             time += 1
             star += 1
 
     # downwards: S suffixes; a large suffix's common prefix is with the one below it
     down, minima, time = DiskQueue(folder, held), Minima(), 0
-    pushed = {}
+    last_of[:] = 0
     larges = reversed(large)
     nxt = next(larges, None)
     while True:
@@ -243,10 +318,10 @@ def sort(text: list[int], folder: str | None = None, held: int = HELD):
                 yield i, lcp
                 last = i
                 if i and kinds[i - 1]:
-                    d = -text[i - 1]
-                    before = pushed.get(d)
-                    down.push(d, (i - 1, 0 if before is None else 1 + minima.after(before)))
-                    pushed[d] = time
+                    d = text[i - 1]
+                    before = pushed[d]
+                    down.push(-d, (i - 1, 1 + minima.after(before - 1) if before else 0))
+                    pushed[d] = time + 1
                 time += 1
         above = None
         while nxt is not None and -text[nxt[0]] == c:
@@ -256,28 +331,46 @@ def sort(text: list[int], folder: str | None = None, held: int = HELD):
             yield i, lcp
             above = nxt[1]
             if i and kinds[i - 1]:
-                d = -text[i - 1]
-                before = pushed.get(d)
-                down.push(d, (i - 1, 0 if before is None else 1 + minima.after(before)))
-                pushed[d] = time
+                d = text[i - 1]
+                before = pushed[d]
+                down.push(-d, (i - 1, 1 + minima.after(before - 1) if before else 0))
+                pushed[d] = time + 1
             time += 1
             nxt = next(larges, None)
     yield n - 1, 0
 
 
-def _named(text, kinds, stars):
-    """(names, None, None) where substrings are equal; (None, order, common prefixes) where all differ."""
+def _substrings(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, step: int = 1 << 15) -> Iterator[tuple[bytes, int]]:
+    """The substring from each star to the next, as bytes that compare as its numbers and kinds do."""
+    m, n = len(stars), len(text)
+    for k in range(0, m, step):
+        places = np.asarray(stars[k : k + step + 1]).tolist()
+        ends = [p + 1 for p in places[1:]] if k + step < m else [*(p + 1 for p in places[1:]), n]
+        a, z = places[0], ends[-1]
+        some = (2 * np.asarray(text[a:z]) + np.asarray(kinds[a:z])).astype(">i8").tobytes()
+        for j, (i, end) in enumerate(zip(places[: len(ends)], ends, strict=True)):
+            yield some[8 * (i - a) : 8 * (end - a)], k + j
+
+
+def _ordered(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folder: str | None, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the stars in order of their suffixes, common prefix of each with the one before)."""
     m, n = len(stars), len(text)
-    keys = []
-    for k in range(m):
-        i, j = stars[k], stars[k + 1] + 1 if k + 1 < m else n
-        keys.append(tuple([2 * text[x] + kinds[x] for x in range(i, j)]))
-    by = sorted(range(m), key=keys.__getitem__)
-    names, name, last = [0] * m, -1, None
-    for k in by:
-        if keys[k] != last:
-            name, last = name + 1, keys[k]
-        names[k] = name
-    if name + 1 < m:
-        return names, None, None
-    return None, by, [0] + [common(text, stars[by[r - 1]], stars[by[r]]) for r in range(1, m)]
+    names, order, prefixes = (numbers(m, np.int64, folder, held) for _ in range(3))
+    name, last, named, by = -1, None, memoryview(names), memoryview(order)
+    for r, (key, k) in enumerate(in_order(_substrings(text, kinds, stars), folder, held)):
+        if key != last:
+            name, last = name + 1, key
+        named[k], by[r] = name, k
+    view, places, out = memoryview(text), memoryview(stars), memoryview(prefixes)
+    if name + 1 == m:
+        for r in range(1, m):
+            out[r] = common(view, places[by[r - 1]], places[by[r]])
+        return order, prefixes
+    r, above = m - 1, 0
+    for k, with_above in sort(names, folder, held):  # the greatest first
+        if r < m - 1:
+            i, j = places[k], places[above]
+            ahead = (places[k + with_above] if k + with_above < m else n) - i
+            out[r + 1] = ahead + common(view, i + ahead, j + ahead)
+        by[r], above, r = k, k, r - 1
+    return order, prefixes

@@ -35,7 +35,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,23 @@
 """Exact removal of repeated passages of ``width`` bytes by external induced suffix sorting.
 
-1. Anchors (see anchors.py) split the windows of every text into runs; equal windows have equal anchors.
+1. Anchors (see anchors.py) split the windows of SHORT bytes of every text into runs; equal windows have equal
+   anchors, and so have equal windows of WIDTH bytes, by the SHORT bytes that they start with.
 2. Anchors are counted. Those that occur once are done: their windows occur nowhere else.
-3. The strings of the other runs (a run's windows and the bytes they cover) are counted by digest: a string that
+3. The string of a run is what its windows of WIDTH bytes cover. Strings are counted by digest: a string that
    occurs twice repeats all its windows. Counting comes before anything is gathered, so thousands of copies are
    a row a task.
-4. Strings that differ but share an anchor are dealt out by it. In each shard they are cut into phrases after
-   four-byte sequences that a digest chooses, phrases are named in order, and induced.py sorts the suffixes of the
-   names with their common prefixes. A window from s is then looked up at the first cut b from s + 4 on: it is
-   repeated if another suffix has ``width - (b - s)`` bytes in common and the same ``b - s`` bytes before it.
-5. Repeated windows return to their texts, whose covered bytes go.
+4. An anchor with more than HOT strings that differ (the edge of a passage in very many texts) is split: its runs
+   are cut into stretches of 16 windows, which are dealt by the bytes that all windows of a stretch have in common;
+   where that is not enough, into single windows, which need no sorting.
+5. Strings that differ but share an anchor are dealt out by it. A task writes its shard to a file, cuts it into
+   phrases after four-byte sequences that a digest chooses, names phrases in order, and induced.py sorts the
+   suffixes of the names with their common prefixes. A window from s is then looked up at the first cut b from
+   s + 4 on: it is repeated if another suffix has ``width - (b - s)`` bytes in common and the same ``b - s`` bytes
+   before it. A window without a cut (text of a short period) is known by its digest.
+6. Repeated windows return to their texts, whose covered bytes go.
+
+Every array of a shard with an entry for each byte, phrase or cut is a mapped file once it is longer than HELD; a
+task holds some arrays and queues of HELD entries, whatever the shard's size.
 
 Texts are the same document if id and text are equal; such rows count as occurrences of one another.
 """
@@ -18,6 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +37,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from .anchors import WIDTH, anchors
+from .anchors import GRAM, SHORT, WIDTH, anchors, digests
 from .common import arrow_function, col, utf8, written
-
-#: Strings of a shard, about.
-SHARD = 4000
+from .induced import HELD, Grown, numbers
+
+#: Bytes of strings of a shard, about.
+SHARD = 2_000_000
+#: Different strings of one anchor that are sorted together.
+HOT = 4000
+#: A repeated passage is reported, whatever its bytes, if it has more words than this.
+PASSAGE_WORDS = 50
 CUT_EVERY = 24
+_WIDTHS = (SHORT, WIDTH)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = 1 << 18
+
+
+def _signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+
+
+def _structs(ends: list[int], h: pa.Array, c: list[int], lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    columns = [h, _signed(c), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["h", "c", "lo", "hi"]))
 
 
 @arrow_function("array<struct<h:long,c:long,lo:int,hi:int>>")
 def _runs(texts: pa.Array) -> pa.Array:
+    """The runs of each text: digests of anchor and string, first and last window."""
     ends, parts, contents = [0], [], []
     digest = xxhash.xxh3_64_intdigest
     for text in utf8(texts):
@@ -45,8 +73,37 @@ def _runs(texts: pa.Array) -> pa.Array:
         contents += [digest(text[a:b]) for a, b in zip(lo.tolist(), (hi + WIDTH).tolist(), strict=True)]
         ends.append(len(contents))
     h, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
-    columns = [pa.array(h), pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["h", "c", "lo", "hi"]))
+    return _structs(ends, pa.array(h), contents, lo, hi)
+
+
+def _pieces(size: int):
+    """A function of texts and their runs of hot anchors: the runs in stretches of ``size`` windows.
+
+    A stretch has its windows at fixed distances from the anchor and is dealt by the bytes that all of them cover.
+    """
+
+    @arrow_function("array<struct<h:long,c:long,lo:int,hi:int>>")
+    def cut(texts: pa.Array, hot: pa.Array) -> pa.Array:
+        ends, h, c, lo, hi = [0], [], [], [], []
+        digest = xxhash.xxh3_64_intdigest
+        for text, runs in zip(utf8(texts), hot.to_pylist(), strict=True):
+            for r in runs:
+                first, z = r["lo"], r["hi"]
+                place = z  # of a single window nothing but its bytes counts
+                if size > 1:
+                    part = np.frombuffer(text, np.uint8, z + SHORT - first, first)
+                    place = first + int(np.flatnonzero(digests(part, GRAM).view(np.int64) == r["h"])[0])
+                while first <= z:
+                    end = place - (place - first) // size * size
+                    h.append(digest(text[end : end - size + 1 + SHORT], (place - end) * (size > 1)))
+                    c.append(digest(text[first : min(end, z) + WIDTH]))
+                    lo.append(first)
+                    hi.append(min(end, z))
+                    first = end + 1
+            ends.append(len(h))
+        return _structs(ends, _signed(h), c, np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64))
+
+    return cut
 
 
 def _strings(batches):
@@ -76,173 +133,330 @@ def phrases(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return cut[cut - 4 >= begins]
 
 
-def repeated_windows(strings: list[bytes], width: int = WIDTH, folder: str | None = None) -> np.ndarray:
-    """Whether each place of the joined strings starts a window, within its string, that also starts elsewhere."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(s) for s in strings], dtype=np.int64)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    ends = starts + sizes
-    flags = np.zeros(len(data) + 1, dtype=bool)
-    cuts = phrases(data, starts)
-
-    # the string of names: phrases from 2 up, 1 after each string, 0 at the end
-    edge = np.unique(np.r_[starts, cuts])
-    edge = edge[edge < len(data)]
-    stop = np.minimum(np.r_[edge[1:], len(data)], ends[np.searchsorted(starts, edge, side="right") - 1])
-    whole = data.tobytes()
-    words = [whole[a:b] for a, b in zip(edge.tolist(), stop.tolist(), strict=True)]
-    name = {w: i + 2 for i, w in enumerate(sorted(set(words)))}
-    owner = np.searchsorted(starts, edge, side="right") - 1
-    at = np.arange(len(edge)) + owner
-    total = len(edge) + len(strings) + 1
-    text = np.ones(total, dtype=np.int64)
-    text[at] = [name[w] for w in words]
-    text[-1] = 0
-    offset = np.zeros(total, dtype=np.int64)
-    offset[at] = edge
-    blank = np.ones(total, dtype=bool)
-    blank[at] = False
-    filled = np.r_[edge, len(data)]
-    offset[blank] = filled[np.minimum(np.cumsum(~blank)[blank], len(edge))]
-
-    found = np.fromiter((x for row in induced.sort(text.tolist(), folder) for x in row), dtype=np.int64, count=2 * total).reshape(-1, 2)
-    order, same = found[:, 0], found[:, 1]
-    # bytes in common with the suffix before: of the whole phrases, then of the two that differ
-    a, b = order[1:], order[:-1]
-    m = same[1:]
-    lcp = offset[np.minimum(a + m, total - 1)] - offset[a]
-    x, y = offset[np.minimum(a + m, total - 1)], offset[np.minimum(b + m, total - 1)]
-    live = np.flatnonzero(lcp < width)
-    stop_of = np.r_[ends, len(data)]
-    bound = lambda p: stop_of[np.minimum(np.searchsorted(starts, p, side="right") - 1, len(ends) - 1)] - p
-    room = np.minimum(bound(x), bound(y))
-    k = 0
-    while len(live):
-        live = live[(room[live] > k)]
-        live = live[data[np.minimum(x[live] + k, len(data) - 1)] == data[np.minimum(y[live] + k, len(data) - 1)]]
-        lcp[live] += 1
-        live = live[lcp[live] < width]
-        k += 1
-    lcp = np.r_[0, lcp]
-
-    # every window from s, at its first cut b >= s + 4
-    valid = np.concatenate([np.arange(s, e - width + 1) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(strings) else np.zeros(0, np.int64)
-    nxt = np.searchsorted(cuts, valid + 4)
-    b = np.where(nxt < len(cuts), cuts[np.minimum(nxt, max(len(cuts) - 1, 0))] if len(cuts) else 0, len(data) + width)
-    d = b - valid
-    powers = np.ones(width + 1, dtype=np.uint64)
-    np.multiply.accumulate(np.full(width, _BASE, dtype=np.uint64), out=powers[1:])
-    sums = _prefix_sums(data)
-
-    def digest(first: np.ndarray, length: int) -> np.ndarray:
-        return sums[first + length] - sums[first] * powers[length]
-
-    def mark(group: np.ndarray, which: np.ndarray) -> None:
-        by = np.argsort(group, kind="stable")
-        g = group[by]
-        twice = np.zeros(len(g), dtype=bool)
-        equal = g[1:] == g[:-1]
-        twice[1:] |= equal
-        twice[:-1] |= equal
-        flags[which[by[twice]]] = True
-
-    none = d > width
-    if none.any():
-        mark(digest(valid[none], width), valid[none])
-    rank = np.zeros(len(data) + width + 1, dtype=np.int64)
-    keep = text[order] >= 2
-    rank[offset[order[keep]]] = np.flatnonzero(keep)
-    some = np.flatnonzero(~none)
-    some = some[np.argsort(d[some], kind="stable")]
-    for part in np.split(some, np.flatnonzero(np.diff(d[some])) + 1) if len(some) else []:
-        distance = int(d[part[0]])
-        interval = np.cumsum(lcp < width - distance).astype(np.uint64)
-        group = interval[rank[b[part]]] * np.uint64(0xC2B2AE3D27D4EB4F) + digest(valid[part], distance) * np.uint64(0x165667B19E3779F9)
-        mark(group ^ (group >> np.uint64(32)), valid[part])
-    return flags[:-1]
-
-
-def _prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial digests of all prefixes, modulo 2 ** 64: blocks by Horner's rule side by side, then joined."""
-    n = len(data)
-    rows = max(1, math.isqrt(n) + 1)
-    size = -(-n // rows) if n else 1
-    values = np.zeros(rows * size, dtype=np.uint64)
-    values[:n] = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    block = values.reshape(rows, size)
-    for j in range(1, size):
-        block[:, j] += block[:, j - 1] * _BASE
-    factor = np.ones(size, dtype=np.uint64)
-    np.multiply.accumulate(np.full(size, _BASE, dtype=np.uint64), out=factor)
-    carry = np.zeros(1, dtype=np.uint64)  # an array: its overflow is meant
-    for i in range(rows):
-        last = block[i, -1:].copy()
-        block[i] += carry * factor
-        carry = last + carry * factor[-1]
-    return np.r_[np.uint64(0), block.ravel()[:n]]
-
-
-def _shard(table: pa.Table) -> pa.Table:
-    rows = list({(h, c): (n, s) for h, c, n, s in zip(*(table.column(k).to_pylist() for k in ("h", "c", "n", "string")), strict=True)}.items())
-    rows.sort()
-    strings = [s for _, (_, s) in rows]
-    flags = repeated_windows(strings)
-    at, out = 0, []
-    for ((h, c), (n, s)) in rows:
-        own = flags[at : at + len(s) - WIDTH + 1]
-        at += len(s)
+class Shard:
+    """Strings joined, as bytes that may be a mapped file, and what their sorted suffixes tell of their windows."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str | None = None, held: int = HELD):
+        self.data, self.folder, self.held = data, folder, held
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts = self.ends - sizes
+
+    def _numbers(self, n: int, kind=np.int64) -> np.ndarray:
+        return numbers(n, kind, self.folder, self.held)
+
+    def _chunks(self, n: int) -> Iterator[tuple[int, int]]:
+        step = min(_STEP, self.held)
+        return ((a, min(a + step, n)) for a in range(0, n, step))
+
+    def _slabs(self) -> Iterator[tuple[int, int]]:
+        """Strings from i to j - 1 that have some megabytes together."""
+        i, most = 0, len(self.ends)
+        while i < most:
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + 4 * min(_STEP, self.held), side="right")))
+            yield i, j
+            i = j
+
+    def _words(self) -> Iterator[tuple[bytes, int]]:
+        """Each phrase with its number; ``edge`` and ``owner`` of phrases and ``cut`` and ``cut_phrase`` grow along."""
+        grown = lambda: Grown(np.int64, self.folder, self.held)
+        edges, owners, cuts, cut_phrases, n = grown(), grown(), grown(), grown(), 0
+        for i, j in self._slabs():
+            at, z = int(self.starts[i]), int(self.ends[j - 1])
+            data, starts, ends = np.asarray(self.data[at:z]), self.starts[i:j] - at, self.ends[i:j] - at
+            cut = phrases(data, starts)
+            owner = np.searchsorted(starts, cut - 1, side="right") - 1
+            cut = cut[cut < ends[owner]]  # at its string's end a cut tells nothing
+            edge = np.union1d(starts[ends > starts], cut)
+            owner = np.searchsorted(starts, edge, side="right") - 1
+            stop = np.minimum(np.r_[edge[1:], len(data)], ends[owner])
+            whole = data.tobytes()
+            for k, (a, b) in enumerate(zip(edge.tolist(), stop.tolist(), strict=True)):
+                yield whole[a:b], n + k
+            edges.append(edge + at)
+            owners.append(owner + i)
+            cuts.append(cut + at)
+            cut_phrases.append(np.searchsorted(edge, cut) + n)
+            n += len(edge)
+        self.edge, self.owner, self.cut, self.cut_phrase = (x.array() for x in (edges, owners, cuts, cut_phrases))
+
+    def order(self) -> None:
+        """Sorts the suffixes: ``rank`` of each cut and ``lcp`` in bytes, to a WIDTH at most, of neighbours."""
+        words = induced.in_order(self._words(), self.folder, self.held)
+        first = next(words, None)
+        n, m = len(self.edge), len(self.ends)
+        total = n + m + 1
+        # the string of names: phrases from 2 up, 1 after each string, 0 at the end
+        text = self._numbers(total)
+        text[:-1] = 1
+        offset = self._numbers(total)
+        at, place = 0, memoryview(self._numbers(n))
+        for a, z in self._chunks(n):
+            np.asarray(place)[a:z] = np.arange(a, z) + self.owner[a:z]
+        view, name, last = memoryview(text), 1, None
+        while first is not None:
+            word, at = first
+            if word != last:
+                name, last = name + 1, word
+            view[place[at]] = name
+            first = next(words, None)
+        for a, z in self._chunks(m):  # the place after a string: where the next one starts
+            offset[np.searchsorted(self.owner, np.arange(a, z), side="right") + np.arange(a, z)] = self.ends[a:z]
+        for a, z in self._chunks(n):
+            offset[np.asarray(place)[a:z]] = self.edge[a:z]
+        offset[total - 1] = len(self.data)
+
+        rank, same = self._numbers(total), self._numbers(total)
+        order, r = memoryview(rank), 0
+        prefix = memoryview(same)
+        for i, lcp in induced.sort(text, self.folder, self.held):
+            order[r], prefix[r], r = i, lcp, r + 1
+        self.lcp = self._numbers(total, np.int32)
+        for a, z in self._chunks(total):
+            self.lcp[a:z] = self._bytes(np.asarray(rank[a:z]), np.asarray(rank[max(0, a - 1) : z - 1]), np.asarray(same[a:z]), offset, total)
+        found = same  # no longer needed: the rank of each suffix
+        for a, z in self._chunks(total):
+            found[np.asarray(rank[a:z])] = np.arange(a, z)
+        for a, z in self._chunks(len(self.cut)):
+            self.cut_phrase[a:z] = found[np.asarray(place)[self.cut_phrase[a:z]]]
+        self.rank = self.cut_phrase
+
+    def _bytes(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, offset: np.ndarray, total: int) -> np.ndarray:
+        """Bytes in common of suffixes a and b, m names of which are alike: those of names, then of the two that differ."""
+        head = len(a) - len(b)  # the first suffix of all has none before it
+        a, m = a[head:], m[head:]
+        x, y = offset[np.minimum(a + m, total - 1)], offset[np.minimum(b + m, total - 1)]
+        lcp = np.minimum(x - offset[a], WIDTH)
+        stop = np.r_[self.ends, len(self.data)]
+        bound = lambda p: stop[np.minimum(np.searchsorted(self.starts, p, side="right") - 1, len(self.ends) - 1)] - p
+        room = np.minimum(bound(x), bound(y))
+        live, k = np.flatnonzero(lcp < WIDTH), 0
+        while len(live):
+            live = live[room[live] > k]
+            live = live[self.data[x[live] + k] == self.data[y[live] + k]]
+            lcp[live] += 1
+            live = live[lcp[live] < WIDTH]
+            k += 1
+        return np.r_[np.zeros(head, np.int64), lcp]
+
+    def repeated(self, widths: tuple[int, ...] = (WIDTH,)) -> np.ndarray:
+        """For each byte a number whose bit k says that the window of widths[k] from there, within its string, also starts elsewhere."""
+        flags = self._numbers(len(self.data) + 1, np.uint8)
+        n = len(self.cut)
+        # a window s is looked up at its first cut from s + 4 on, at a distance d of ``least`` to ``most``
+        least, most, end = self._numbers(n), self._numbers(n), self._numbers(n)
+        for a, z in self._chunks(n):
+            cut = np.asarray(self.cut[a:z])
+            owner = np.searchsorted(self.starts, cut, side="right") - 1
+            before = np.asarray(self.cut[a - 1 : z - 1]) if a else np.r_[-1, self.cut[: z - 1]][: z - a]
+            start = self.starts[owner]
+            end[a:z] = self.ends[owner]
+            most[a:z] = np.minimum(cut - start, np.where(before > start, cut - before + 3, len(self.data)))
+        for k, width in enumerate(widths):
+            for a, z in self._chunks(n):
+                least[a:z] = np.maximum(4, self.cut[a:z] + width - end[a:z])
+            self._by_cut(flags, np.uint8(1 << k), width, least, most)
+            self._without_cut(flags, np.uint8(1 << k), width)
+        return flags[:-1]
+
+    def _by_cut(self, flags: np.ndarray, bit: np.uint8, width: int, least: np.ndarray, most: np.ndarray) -> None:
+        n, total = len(self.cut), len(self.lcp)
+        live, digest = self._numbers(n), self._numbers(n, np.uint64)
+        interval = self._numbers(total, np.int32)
+        for a, z in self._chunks(n):
+            live[a:z] = np.arange(a, z)
+        for d in range(1, width):
+            kept = 0
+            for a, z in self._chunks(n):
+                some = np.asarray(live[a:z])
+                some = some[most[some] >= d]
+                digest[some] = digest[some] * _BASE + self.data[self.cut[some] - d] + np.uint64(1)
+                live[kept : kept + len(some)] = some
+                kept += len(some)
+            n = kept
+            if not n:
+                return
+            if d < 4:
+                continue
+            carry = 0
+            for a, z in self._chunks(total):
+                part = np.cumsum(self.lcp[a:z] < width - d) + carry
+                interval[a:z] = part
+                carry = int(part[-1])
+            keys, places = Grown(np.uint64, self.folder, self.held), Grown(np.int64, self.folder, self.held)
+            for a, z in self._chunks(n):
+                some = np.asarray(live[a:z])
+                some = some[least[some] <= d]
+                key = interval[self.rank[some]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + digest[some] * np.uint64(0x165667B19E3779F9)
+                keys.append(key ^ (key >> np.uint64(32)))
+                places.append(self.cut[some] - d)
+            self._mark(flags, bit, keys.array(), places.array())
+
+    def _without_cut(self, flags: np.ndarray, bit: np.uint8, width: int) -> None:
+        """Windows from s with no cut between s + 4 and s + width - 1, by their digests."""
+        keys, places = Grown(np.uint64, self.folder, self.held), Grown(np.int64, self.folder, self.held)
+        for i, j in self._slabs():
+            first = np.searchsorted(self.cut, self.starts[i])
+            cut = np.asarray(self.cut[first : np.searchsorted(self.cut, self.ends[j - 1])])
+            # from a start or just behind a cut up to the next one or the end
+            a = np.r_[self.starts[i:j], cut - 3]
+            z = np.minimum(np.r_[cut, self.ends[j - 1]][np.searchsorted(cut, a + 4)] - width, self.ends[np.searchsorted(self.ends, a, side="right").clip(max=len(self.ends) - 1)] - width)
+            for p, q in zip(a[z >= a].tolist(), z[z >= a].tolist(), strict=True):
+                for at in range(p, q + 1, _STEP):
+                    text = self.data[at : min(at + _STEP, q + 1) + width - 1].tobytes()
+                    keys.append(np.array([xxhash.xxh3_64_intdigest(text[x : x + width]) for x in range(len(text) - width + 1)], dtype=np.uint64))
+                    places.append(np.arange(at, min(at + _STEP, q + 1)))
+        self._mark(flags, bit, keys.array(), places.array())
+
+    def _mark(self, flags: np.ndarray, bit: np.uint8, keys: np.ndarray, places: np.ndarray) -> None:
+        """Sets the bit at places whose key occurs twice; keys are taken by their remainder, so many at a time."""
+        parts = -(-len(keys) // self.held)
+        for part in range(parts):
+            k, at = (keys, places) if parts == 1 else self._part(keys, places, part, parts)
+            if not len(k):
+                continue
+            by = np.argsort(k, kind="stable")
+            k = k[by]
+            equal = k[1:] == k[:-1]
+            twice = np.r_[False, equal] | np.r_[equal, False]
+            flags[at[by[twice]]] |= bit
+
+    def _part(self, keys: np.ndarray, places: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for a, z in self._chunks(len(keys)):
+            k = np.asarray(keys[a:z])
+            own = k % np.uint64(parts) == part
+            found.append((k[own], np.asarray(places[a:z])[own]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def repeated_windows(strings: list[bytes], widths: tuple[int, ...] = (WIDTH,), folder: str | None = None, held: int = HELD) -> np.ndarray:
+    shard = Shard(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], dtype=np.int64), folder, held)
+    shard.order()
+    return shard.repeated(widths)
+
+
+def _folder() -> str | None:
+    """A folder on a disk that Spark gives its tasks."""
+    given = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return given[os.getpid() % len(given)] if given else None
+
+
+def _sorted(batches):
+    """One partition of strings: (h, c, spans of windows of width k) of those that occur once."""
+    folder = _folder()
+    data, sizes, rows = Grown(np.uint8, folder, 1 << 23), Grown(np.int64, folder), Grown(np.int64, folder)
+    for batch in batches:
+        strings = batch.column("string")
+        strings = strings.to_pylist()
+        data.append(np.frombuffer(b"".join(strings), np.uint8))
+        sizes.append(np.array([len(s) for s in strings], dtype=np.int64))
+        rows.append(np.stack([batch.column(k).to_numpy() for k in ("h", "c", "n")], axis=1).ravel() if batch.num_rows else np.zeros(0, np.int64))
+    if not data.n:
+        return
+    shard = Shard(data.array(), sizes.array(), folder)
+    shard.order()
+    flags, rows, out = shard.repeated(_WIDTHS), rows.array().reshape(-1, 3), []
+    kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("z", pa.int32())])))])
+    for (h, c, n), a, z in zip(rows, shard.starts.tolist(), shard.ends.tolist(), strict=True):
+        own = np.asarray(flags[a:z])
         if n == 1 and own.any():
-            first = np.flatnonzero(np.diff(np.r_[False, own].astype(np.int8)) == 1)
-            last = np.flatnonzero(np.diff(np.r_[own, False].astype(np.int8)) == -1)
-            out.append({"h": h, "c": c, "spans": [{"a": int(a), "z": int(z)} for a, z in zip(first, last, strict=True)]})
-    return pa.Table.from_pylist(out, pa.schema([("h", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))]))
-
-
-@arrow_function("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
+            spans = []
+            for k in range(len(_WIDTHS)):
+                edge = np.flatnonzero(np.diff(np.r_[0, own >> k & 1, 0].astype(np.int8))).reshape(-1, 2)
+                spans += [{"k": k, "a": int(x), "z": int(y) - 1} for x, y in edge]
+            out.append({"h": int(h), "c": int(c), "spans": spans})
+            if len(out) >= 5000:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out = []
+    yield pa.RecordBatch.from_pylist(out, kind)
+
+
+@arrow_function("struct<n_bytes:long,n_removed:long,n_spans:long,n_passages:long,kept:binary>")
 def _without(texts: pa.Array, covered: pa.Array) -> pa.Array:
     rows = []
-    for text, spans in zip(utf8(texts), covered.to_pylist(), strict=True):
+    for text, windows in zip(utf8(texts), covered.to_pylist(), strict=True):
         text = text or b""
-        kept, at, removed, n = [], 0, 0, 0
-        for lo, hi in sorted((s["lo"], s["hi"] + WIDTH) for s in spans or []):
-            if lo > at or not n:
-                kept.append(text[at:lo])
-                n += 1
-                removed += hi - lo
-                at = hi
-            elif hi > at:
-                removed += hi - at
-                at = hi
+        size = len(text)
+        passages = [text[a:z] for a, z in _joined(windows, 0, size)]
+        gone = _joined(windows, 1, size)
+        at, kept = 0, []
+        for a, z in gone:
+            kept.append(text[at:a])
+            at = z
         kept.append(text[at:])
-        rows.append((len(text), removed, n, b"".join(kept)))
-    return pa.StructArray.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=["n_bytes", "n_removed", "n_spans", "kept"])
+        rows.append((size, sum(z - a for a, z in gone), len(gone), sum(len(p.split()) > PASSAGE_WORDS for p in passages), b"".join(kept)))
+    names = ["n_bytes", "n_removed", "n_spans", "n_passages", "kept"]
+    return pa.StructArray.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[4] for r in rows], pa.binary())], names=names)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, which removal may leave
-    in the middle of a character. A null text is empty, texts under ``width`` bytes stay whole; ids may be null."""
-    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    runs = rows.select("id", "tie", F.explode(_runs(F.col("text"))).alias("r")).select("id", "tie", "r.*")
+def _joined(windows: list[dict] | None, k: int, size: int) -> list[tuple[int, int]]:
+    """The maximal stretches that windows of _WIDTHS[k] cover; k of a row is its width's, or -1 for both."""
+    width, out = _WIDTHS[k], []
+    for lo, hi in sorted((w["lo"], min(w["hi"] + width, size)) for w in windows or [] if w["k"] in (k, -1) and w["lo"] + width <= size):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(a, z) for a, z in out]
+
+
+def _grouped(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs of anchors that occur again, with ``mixed``: their strings differ; different strings of these, counted)."""
     again = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    again = written(again.select(F.col("h").alias("h0"), (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
-    held = written(runs.join(again, F.col("h") == F.col("h0")).drop("h0"), "runs")
+    again = written(again.select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
+    held = written(runs.join(again, "h"), "runs")
     mixed = held.where("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "tie", "lo", "hi")).alias("at"))
-    mixed = written(mixed.select("h", "c", "n", "at.*"), "strings")
+    return held, written(mixed.select("h", "c", "n", "at.*"), "strings")
+
 
-    places = mixed.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_list(F.struct("h", "c", "n", "lo", "hi")).alias("places"))
-    here = rows.join(places, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")))
-    strings = here.select("text", "places").mapInArrow(_strings, "h long, c long, n long, string binary")
-    shards = max(1, math.ceil(mixed.count() / SHARD))
-    found = strings.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(_shard, "h long, c long, spans array<struct<a:int,z:int>>")
+def _at_texts(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
+    """The texts of places, each with the list of its places."""
+    places = places.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_list(F.struct(*columns)).alias("places"))
+    return rows.join(places, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, n_passages, kept) of every row.
+
+    kept is the remaining bytes, which removal may leave in the middle of a character; n_passages the stretches
+    of over PASSAGE_WORDS words that strings of SHORT bytes cover which also start elsewhere, removed or not. A null
+    text is empty, texts under WIDTH bytes stay whole; ids may be null. Repeated rows lose what they share, as copies
+    with different ids do; equal passages need no order, all go. Texts of any length are read in slices; columns of
+    docs besides the two are not read, whatever their names.
+    """
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    runs = rows.select("id", "tie", F.explode(_runs(F.col("text"))).alias("r")).select("id", "tie", "r.*")
+    held, strings = _grouped(written(runs, "every"))
+    alone = None
+    for size in (16, 1):
+        split = written(strings.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
+        if split.isEmpty():
+            break
+        texts = _at_texts(rows, held.where("mixed").join(split, "h", "left_semi"), "h", "lo", "hi")
+        finer = texts.select("id", "tie", F.explode(_pieces(size)(F.col("text"), F.col("places"))).alias("r")).select("id", "tie", "r.*")
+        finer, other = _grouped(written(finer, "pieces"))
+        held = held.join(split, "h", "left_anti").unionByName(finer)
+        strings = strings.join(split, "h", "left_anti")
+        if size > 1:
+            strings = strings.unionByName(other)
+        else:
+            alone = other
+
+    size = strings.agg(F.sum(F.col("hi") - F.col("lo") + WIDTH)).first()[0] or 0
+    found = _at_texts(rows, strings, "h", "c", "n", "lo", "hi").select("text", "places").mapInArrow(_strings, "h long, c long, n long, string binary")
+    found = found.repartition(max(1, math.ceil(size / SHARD)), "h").mapInArrow(_sorted, "h long, c long, spans array<struct<k:int,a:int,z:int>>")
     found = written(found, "sorted")
 
-    known = mixed.select("h", "c", "n").join(found, ["h", "c"], "left").where("n > 1 or spans is not null")
-    known = known.select(F.col("h").alias("h0"), F.col("c").alias("c0"), F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("z")))).otherwise(F.col("spans")).alias("spans"))
+    span = lambda k, a, z: F.array(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(z).alias("z")))
+    spans = F.when(F.col("n") > 1, span(-1, 0, -1))  # all of the run
+    known = strings.select("h", "c", "n").join(found, ["h", "c"], "left").where("n > 1 or spans is not null").select("h", "c", spans.otherwise(F.col("spans")).alias("spans"))
+    if alone is not None:
+        known = known.unionByName(alone.select("h", "c", spans.otherwise(span(0, 0, 0)).alias("spans")))
     known = written(known, "known")  # a table, so that the join below may split a string of many documents
-    part = held.where("mixed").join(known, (F.col("h") == F.col("h0")) & (F.col("c") == F.col("c0"))).select("id", "tie", "lo", "hi", F.explode("spans").alias("s"))
-    part = part.select("id", "tie", (F.col("lo") + F.col("s.a")).alias("lo"), F.when(F.col("s.z") < 0, F.col("hi")).otherwise(F.col("lo") + F.col("s.z")).alias("hi"))
-    gone = held.where("not mixed").select("id", "tie", "lo", "hi").union(part)
-    gone = written(gone.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "covered")
+    part = held.where("mixed").join(known, ["h", "c"]).select("id", "tie", "lo", "hi", F.explode("spans").alias("s"))
+    part = part.select("id", "tie", F.col("s.k").alias("k"), (F.col("lo") + F.col("s.a")).alias("lo"), F.when(F.col("s.z") < 0, F.col("hi")).otherwise(F.col("lo") + F.col("s.z")).alias("hi"))
+    gone = held.where("not mixed").select("id", "tie", F.lit(-1).alias("k"), "lo", "hi").unionByName(part)
+    gone = written(gone.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_set(F.struct("k", "lo", "hi")).alias("gone")), "covered")
     met = rows.join(gone, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")), "left")
     return met.select(F.col("id").alias(id_col), _without(F.col("text"), F.col("gone")).alias("s")).select(col(id_col), "s.*")
 
