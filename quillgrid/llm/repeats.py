@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
@@ -76,51 +76,56 @@ def _runs(texts: pa.Array) -> pa.Array:
     return _structs(ends, pa.array(h), contents, lo, hi)
 
 
-def _pieces(size: int):
-    """A function of texts and their runs of hot anchors: the runs in stretches of ``size`` windows.
+_STRINGS = "h long, c long, n long, last int, string binary"
+_PIECES = "h long, c long, n long, first int, h2 long, c2 long, last int, string binary"
 
-    A stretch has its windows at fixed distances from the anchor and is dealt by the bytes that all of them cover.
+
+def _strings(batches):
+    """The strings of the places of texts, a row each with its last window, in small batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            rows = []
+            for text, places in zip(utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
+                rows += [(r["h"], r["c"], r["n"], r["hi"] - r["lo"], text[r["lo"] : r["hi"] + WIDTH]) for r in places]
+            yield _batch(rows, _STRINGS)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    of = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.record_batch([pa.array([r[i] for r in rows], of[k]) for i, k in enumerate(kinds)], names=list(names))
+
+
+def _cut(size: int):
+    """A function of batches of strings: the windows of each in stretches of ``size``, from ``first`` to first + last.
+
+    A stretch has its windows at fixed distances from the anchor; h2 is of the bytes that all of them cover, c2 of
+    the stretch's string.
     """
 
-    @arrow_function("array<struct<h:long,c:long,lo:int,hi:int>>")
-    def cut(texts: pa.Array, hot: pa.Array) -> pa.Array:
-        ends, h, c, lo, hi = [0], [], [], [], []
-        digest = xxhash.xxh3_64_intdigest
-        for text, runs in zip(utf8(texts), hot.to_pylist(), strict=True):
-            for r in runs:
-                first, z = r["lo"], r["hi"]
-                place = z  # of a single window nothing but its bytes counts
+    def cut(batches):
+        digest = lambda *x: int(np.uint64(xxhash.xxh3_64_intdigest(*x)).view(np.int64))
+        for batch in batches:
+            rows = []
+            for h, c, n, z, string in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "n", "last", "string")), strict=True):
+                place, first = z, 0  # of a single window nothing but its bytes counts
                 if size > 1:
-                    part = np.frombuffer(text, np.uint8, z + SHORT - first, first)
-                    place = first + int(np.flatnonzero(digests(part, GRAM).view(np.int64) == r["h"])[0])
+                    place = int(np.flatnonzero(digests(np.frombuffer(string, np.uint8, z + SHORT), GRAM).view(np.int64) == h)[0])
                 while first <= z:
                     end = place - (place - first) // size * size
-                    h.append(digest(text[end : end - size + 1 + SHORT], (place - end) * (size > 1)))
-                    c.append(digest(text[first : min(end, z) + WIDTH]))
-                    lo.append(first)
-                    hi.append(min(end, z))
+                    last = min(end, z)
+                    piece = string[first : last + WIDTH]
+                    rows.append((h, c, n, first, digest(string[end : end - size + 1 + SHORT], (place - end) * (size > 1)), digest(piece), last - first, piece))
                     first = end + 1
-            ends.append(len(h))
-        return _structs(ends, _signed(h), c, np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64))
+                if len(rows) > 2000:
+                    yield _batch(rows, _PIECES)
+                    rows = []
+            yield _batch(rows, _PIECES)
 
     return cut
 
 
-def _strings(batches):
-    """The strings of the places of texts, a row each, in small batches."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            h, c, n, strings = [], [], [], []
-            for text, rows in zip(utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
-                for r in rows:
-                    h.append(r["h"])
-                    c.append(r["c"])
-                    n.append(r["n"])
-                    strings.append(text[r["lo"] : r["hi"] + WIDTH])
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in (h, c, n)), pa.array(strings, pa.binary())], names=["h", "c", "n", "string"])
-
-
 def phrases(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places of cuts: after four bytes of one string whose digest is a multiple of CUT_EVERY."""
     if len(data) < 4:
@@ -136,10 +141,12 @@ def phrases(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Shard:
     """Strings joined, as bytes that may be a mapped file, and what their sorted suffixes tell of their windows."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str | None = None, held: int = HELD):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, lasts: np.ndarray | None = None, folder: str | None = None, held: int = HELD):
+        """lasts: the last window of each string that counts; those behind it belong to another string of the text."""
         self.data, self.folder, self.held = data, folder, held
         self.ends = np.cumsum(sizes, dtype=np.int64)
         self.starts = self.ends - sizes
+        self.lasts = self.starts + (sizes if lasts is None else lasts)
 
     def _numbers(self, n: int, kind=np.int64) -> np.ndarray:
         return numbers(n, kind, self.folder, self.held)
@@ -243,17 +250,18 @@ class Shard:
         flags = self._numbers(len(self.data) + 1, np.uint8)
         n = len(self.cut)
         # a window s is looked up at its first cut from s + 4 on, at a distance d of ``least`` to ``most``
-        least, most, end = self._numbers(n), self._numbers(n), self._numbers(n)
+        least, most, owners = self._numbers(n), self._numbers(n), self._numbers(n)
         for a, z in self._chunks(n):
             cut = np.asarray(self.cut[a:z])
             owner = np.searchsorted(self.starts, cut, side="right") - 1
             before = np.asarray(self.cut[a - 1 : z - 1]) if a else np.r_[-1, self.cut[: z - 1]][: z - a]
             start = self.starts[owner]
-            end[a:z] = self.ends[owner]
+            owners[a:z] = owner
             most[a:z] = np.minimum(cut - start, np.where(before > start, cut - before + 3, len(self.data)))
         for k, width in enumerate(widths):
+            last = np.minimum(self.ends - width, self.lasts)
             for a, z in self._chunks(n):
-                least[a:z] = np.maximum(4, self.cut[a:z] + width - end[a:z])
+                least[a:z] = np.maximum(4, self.cut[a:z] - last[np.asarray(owners[a:z])])
             self._by_cut(flags, np.uint8(1 << k), width, least, most)
             self._without_cut(flags, np.uint8(1 << k), width)
         return flags[:-1]
@@ -299,7 +307,9 @@ class Shard:
             cut = np.asarray(self.cut[first : np.searchsorted(self.cut, self.ends[j - 1])])
             # from a start or just behind a cut up to the next one or the end
             a = np.r_[self.starts[i:j], cut - 3]
-            z = np.minimum(np.r_[cut, self.ends[j - 1]][np.searchsorted(cut, a + 4)] - width, self.ends[np.searchsorted(self.ends, a, side="right").clip(max=len(self.ends) - 1)] - width)
+            owner = np.searchsorted(self.ends, a, side="right").clip(max=len(self.ends) - 1)
+            z = np.minimum(np.r_[cut, self.ends[j - 1]][np.searchsorted(cut, a + 4)], self.ends[owner]) - width
+            z = np.minimum(z, self.lasts[owner])
             for p, q in zip(a[z >= a].tolist(), z[z >= a].tolist(), strict=True):
                 for at in range(p, q + 1, _STEP):
                     text = self.data[at : min(at + _STEP, q + 1) + width - 1].tobytes()
@@ -330,7 +340,7 @@ class Shard:
 
 
 def repeated_windows(strings: list[bytes], widths: tuple[int, ...] = (WIDTH,), folder: str | None = None, held: int = HELD) -> np.ndarray:
-    shard = Shard(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], dtype=np.int64), folder, held)
+    shard = Shard(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], dtype=np.int64), None, folder, held)
     shard.order()
     return shard.repeated(widths)
 
@@ -346,18 +356,18 @@ def _sorted(batches):
     folder = _folder()
     data, sizes, rows = Grown(np.uint8, folder, 1 << 23), Grown(np.int64, folder), Grown(np.int64, folder)
     for batch in batches:
-        strings = batch.column("string")
-        strings = strings.to_pylist()
+        strings = batch.column("string").to_pylist()
         data.append(np.frombuffer(b"".join(strings), np.uint8))
         sizes.append(np.array([len(s) for s in strings], dtype=np.int64))
-        rows.append(np.stack([batch.column(k).to_numpy() for k in ("h", "c", "n")], axis=1).ravel() if batch.num_rows else np.zeros(0, np.int64))
+        rows.append(np.stack([batch.column(k).to_numpy() for k in ("h", "c", "n", "last")], axis=1).ravel())
     if not data.n:
         return
-    shard = Shard(data.array(), sizes.array(), folder)
+    rows = rows.array().reshape(-1, 4)
+    shard = Shard(data.array(), sizes.array(), rows[:, 3], folder)
     shard.order()
-    flags, rows, out = shard.repeated(_WIDTHS), rows.array().reshape(-1, 3), []
+    flags, out = shard.repeated(_WIDTHS), []
     kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("z", pa.int32())])))])
-    for (h, c, n), a, z in zip(rows, shard.starts.tolist(), shard.ends.tolist(), strict=True):
+    for (h, c, n, _), a, z in zip(rows, shard.starts.tolist(), shard.ends.tolist(), strict=True):
         own = np.asarray(flags[a:z])
         if n == 1 and own.any():
             spans = []
@@ -400,19 +410,40 @@ def _joined(windows: list[dict] | None, k: int, size: int) -> list[tuple[int, in
     return [(a, z) for a, z in out]
 
 
-def _grouped(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs of anchors that occur again, with ``mixed``: their strings differ; different strings of these, counted)."""
-    again = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    again = written(again.select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
-    held = written(runs.join(again, "h"), "runs")
-    mixed = held.where("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "tie", "lo", "hi")).alias("at"))
-    return held, written(mixed.select("h", "c", "n", "at.*"), "strings")
+def _spans(k, a, z) -> Column:
+    return F.array(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(z).alias("z")))
 
 
-def _at_texts(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
-    """The texts of places, each with the list of its places."""
-    places = places.groupBy(F.col("id").alias("id0"), F.col("tie").alias("tie0")).agg(F.collect_list(F.struct(*columns)).alias("places"))
-    return rows.join(places, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")))
+def _known(strings: DataFrame, hot: int, sizes: tuple[int, ...] = (16, 1)) -> DataFrame:
+    """(h, c, spans) of strings of anchors whose strings differ: spans of windows of width k (-1: all) from a to z (-1: all)."""
+    rest, split = strings, None
+    if sizes:
+        split = written(strings.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
+        split = None if split.isEmpty() else split
+    if split is not None:
+        rest = strings.join(split, "h", "left_anti")
+    size = rest.agg(F.sum(F.octet_length("string"))).first()[0] or 0
+    found = rest.repartition(max(1, math.ceil(size / SHARD)), "h").mapInArrow(_sorted, "h long, c long, spans array<struct<k:int,a:int,z:int>>")
+    known = rest.where("n > 1").select("h", "c", _spans(-1, 0, -1).alias("spans")).unionByName(found)
+    if split is None:
+        return known
+    pieces = written(strings.join(split, "h", "left_semi").mapInArrow(_cut(sizes[0]), _PIECES), "pieces")
+    again = pieces.groupBy("h2").agg(F.sum("n").alias("of"), F.min("c2").alias("c0"), F.max("c2").alias("c1")).where("of > 1")
+    again = written(again.select("h2", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
+    pieces = written(pieces.join(again, "h2"), "pieces")
+    mixed = pieces.where("mixed").groupBy(F.col("h2").alias("h"), F.col("c2").alias("c"))
+    if sizes[0] > 1:
+        mixed = written(mixed.agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("string").alias("string")), "strings")
+        inner = _known(mixed, hot, sizes[1:])
+    else:  # single windows: known by their first SHORT bytes, and by all WIDTH where these occur again
+        inner = mixed.agg(F.sum("n").alias("n")).select("h", "c", F.when(F.col("n") > 1, _spans(-1, 0, -1)).otherwise(_spans(0, 0, -1)).alias("spans"))
+    inner = written(inner.select(F.col("h").alias("h2"), F.col("c").alias("c2"), "spans"), "known")
+    pieces = pieces.select("h", "c", "h2", "c2", "first", "last", "mixed")
+    spans = pieces.where("mixed").join(inner, ["h2", "c2"]).select("h", "c", "first", "last", F.explode("spans").alias("s"))
+    spans = spans.unionByName(pieces.where("not mixed").select("h", "c", "first", "last", F.struct(F.lit(-1).alias("k"), F.lit(0).alias("a"), F.lit(-1).alias("z")).alias("s")))
+    end = F.when(F.col("s.z") < 0, F.col("last")).otherwise(F.col("s.z"))
+    spans = spans.groupBy("h", "c").agg(F.collect_set(F.struct(F.col("s.k").alias("k"), (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + end).alias("z"))).alias("spans"))
+    return known.unionByName(spans)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -425,34 +456,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs besides the two are not read, whatever their names.
     """
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    runs = rows.select("id", "tie", F.explode(_runs(F.col("text"))).alias("r")).select("id", "tie", "r.*")
-    held, strings = _grouped(written(runs, "every"))
-    alone = None
-    for size in (16, 1):
-        split = written(strings.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
-        if split.isEmpty():
-            break
-        texts = _at_texts(rows, held.where("mixed").join(split, "h", "left_semi"), "h", "lo", "hi")
-        finer = texts.select("id", "tie", F.explode(_pieces(size)(F.col("text"), F.col("places"))).alias("r")).select("id", "tie", "r.*")
-        finer, other = _grouped(written(finer, "pieces"))
-        held = held.join(split, "h", "left_anti").unionByName(finer)
-        strings = strings.join(split, "h", "left_anti")
-        if size > 1:
-            strings = strings.unionByName(other)
-        else:
-            alone = other
-
-    size = strings.agg(F.sum(F.col("hi") - F.col("lo") + WIDTH)).first()[0] or 0
-    found = _at_texts(rows, strings, "h", "c", "n", "lo", "hi").select("text", "places").mapInArrow(_strings, "h long, c long, n long, string binary")
-    found = found.repartition(max(1, math.ceil(size / SHARD)), "h").mapInArrow(_sorted, "h long, c long, spans array<struct<k:int,a:int,z:int>>")
-    found = written(found, "sorted")
-
-    span = lambda k, a, z: F.array(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(z).alias("z")))
-    spans = F.when(F.col("n") > 1, span(-1, 0, -1))  # all of the run
-    known = strings.select("h", "c", "n").join(found, ["h", "c"], "left").where("n > 1 or spans is not null").select("h", "c", spans.otherwise(F.col("spans")).alias("spans"))
-    if alone is not None:
-        known = known.unionByName(alone.select("h", "c", spans.otherwise(span(0, 0, 0)).alias("spans")))
-    known = written(known, "known")  # a table, so that the join below may split a string of many documents
+    runs = written(rows.select("id", "tie", F.explode(_runs(F.col("text"))).alias("r")).select("id", "tie", "r.*"), "every")
+    again = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+    again = written(again.select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
+    held = written(runs.join(again, "h"), "runs")
+    mixed = held.where("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "tie", "lo", "hi")).alias("at"))
+    places = mixed.groupBy(F.col("at.id").alias("id0"), F.col("at.tie").alias("tie0")).agg(F.collect_list(F.struct("h", "c", "n", "at.lo", "at.hi")).alias("places"))
+    here = rows.join(places, F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0")))
+    strings = written(here.select("text", "places").mapInArrow(_strings, _STRINGS), "strings")
+    known = written(_known(strings, hot), "known")  # a table, so that the join below may split a string of many documents
+
     part = held.where("mixed").join(known, ["h", "c"]).select("id", "tie", "lo", "hi", F.explode("spans").alias("s"))
     part = part.select("id", "tie", F.col("s.k").alias("k"), (F.col("lo") + F.col("s.a")).alias("lo"), F.when(F.col("s.z") < 0, F.col("hi")).otherwise(F.col("lo") + F.col("s.z")).alias("hi"))
     gone = held.where("not mixed").select("id", "tie", F.lit(-1).alias("k"), "lo", "hi").unionByName(part)
