@@ -1,13 +1,17 @@
 """Quality rules whose cutoffs come from labelled holdouts with exact binomial bounds.
 
-Each rule scores a text, and rejects it above the cutoff of the text's stratum (its language). Cutoffs are
-found on documents labelled good or bad. Per stratum and rule they are tested from the mildest to the
-strictest; a cutoff is certified while the exact (Clopper-Pearson) upper bound of the share of good documents
-that it rejects stays within ``alpha / rules``. Testing in a fixed sequence needs no correction within a rule;
-between strata and rules the error level is divided by their number (Bonferroni). With probability 1 - delta
-no certified set of cutoffs rejects more than ``alpha`` of the good documents of any stratum. Of the certified
-cutoffs the one that catches most bad documents, less a price on good ones, is used; where none catches
-enough the rule is silent. All labels count: only tallies per (stratum, rule, bin) reach the driver.
+Each rule scores a text and rejects it from a cutoff on. The cutoffs of all rules move together along one path,
+from none to strict: each step lowers the cutoff of one rule. The path is drawn greedily from a part of the labels
+(a fifth, TUNE rows at most), which decides nothing else. On the other labels, the holdout, its steps are tested
+for each stratum (a language) in their order: a step is certified while the exact (Clopper-Pearson) upper bound of
+the share of good documents that the path rejects up to there stays within ``alpha``. Testing in a fixed order
+needs no correction along the path; between strata the error level is divided by their number (Bonferroni). With
+probability 1 - delta no stratum loses more than ``alpha`` of its good documents to the rules. Of the certified
+steps the one that catches most bad documents, less a price on good ones, is used.
+
+A stratum with fewer good labels in the holdout than certify anything (217 at four strata) is joined with the
+others like it to one stratum, for which the guarantee then holds as a whole; where that has too few, no rule acts
+there. All holdout labels count: only tallies per (stratum, step) reach the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import arrow_function, col, fresh, utf8, written
 
 ALPHA, DELTA, BINS = 0.02, 0.05, 64
+#: Labels that draw the path: a share, and so many rows at most; steps of a path.
+TUNE_SHARE, TUNE, STEPS, SEED = 0.2, 5000, 40, 6
 #: A good document lost counts as so many bad ones let through, as shares.
 PRICE = 10.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -115,40 +121,71 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def cutoffs(tallies: list[tuple], alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> dict[tuple, int]:
-    """(stratum, rule) -> the least bin that is rejected. tallies: (stratum, rule, bin, good, bad)."""
-    strata: dict = {}
-    for stratum, rule, b, good, bad in tallies:
-        counts = strata.setdefault(stratum, {}).setdefault(rule, np.zeros((BINS + 1, 2), dtype=np.int64))
-        counts[b] += (good, bad)
-    out = {}
-    tests = max(1, len(strata) * len(RULES))
-    for stratum, rules in strata.items():
-        for rule, counts in rules.items():
-            good, bad = counts.sum(axis=0).tolist()
-            lost = np.cumsum(counts[::-1], axis=0)[::-1]
-            best, at = 0.0, None
+def path(bins: np.ndarray, good: np.ndarray, alpha: float = ALPHA) -> list[tuple[int, int]]:
+    """Steps (rule, least bin that it rejects from then on), each the one that rejects most bad rows for a good one.
+
+    bins: a row for each labelled text, a column for each rule. Ties: more bad rows, then the earlier rule, then the
+    milder cutoff. It ends when no step rejects two more bad rows, or good ones beyond three times alpha would go.
+    """
+    alive, out = np.ones(len(good), dtype=bool), []
+    lost = 0
+    while len(out) < STEPS:
+        best = None
+        for r in range(bins.shape[1]):
+            counts = [np.bincount(bins[alive & (good == g), r], minlength=BINS + 1)[::-1].cumsum()[::-1] for g in (0, 1)]
             for b in range(BINS, 0, -1):
-                k, caught = lost[b].tolist()
-                if k > alpha * good or upper_bound(k, good, delta / tests) > alpha / len(RULES):
-                    break
-                gain = caught / max(bad, 1) - price * k / max(good, 1)
-                if gain > best and caught >= 5:
-                    best, at = gain, b
-            if at is not None:
-                out[stratum, rule] = at
+                bad, fine = int(counts[0][b]), int(counts[1][b])
+                if bad >= 2 and (best is None or (bad * (best[1] + 1), bad) > (best[0] * (fine + 1), best[0])):
+                    best = (bad, fine, r, b)
+        if best is None or lost + best[1] > 3 * alpha * good.sum():
+            break
+        alive &= bins[:, best[2]] < best[3]
+        lost += best[1]
+        out.append(best[2:])
     return out
 
 
+def needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good labels without which a stratum can certify nothing, even if no good document is rejected."""
+    return math.ceil(math.log(delta / max(1, strata)) / math.log(1 - alpha))
+
+
+def certified(tallies: list[tuple], steps: int, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> dict[str | None, int]:
+    """stratum -> the step up to which the path is used, under None for strata that are joined.
+
+    tallies: (stratum, first step that rejects, good, bad), steps from 1, ``steps + 1`` for rows that none rejects.
+    """
+    strata: dict = {}
+    for stratum, step, good, bad in tallies:
+        strata.setdefault(stratum, np.zeros((steps + 2, 2), dtype=np.int64))[step] += (good, bad)
+    few = [k for k, counts in strata.items() if counts[:, 0].sum() < needed(len(strata), alpha, delta)]
+    tested = {k: counts for k, counts in strata.items() if k not in few}
+    if few:
+        tested[None] = sum(strata[k] for k in few)
+    out = {}
+    for stratum, counts in tested.items():
+        good, bad = counts.sum(axis=0).tolist()
+        best, at = 0.0, 0
+        for step in range(1, steps + 1):
+            k, caught = counts[: step + 1].sum(axis=0).tolist()
+            if k > alpha * good or upper_bound(k, good, delta / len(tested)) > alpha:
+                break
+            gain = caught / max(bad, 1) - price * k / max(good, 1)
+            if gain > best:
+                best, at = gain, step
+        out[stratum] = at
+    return {k: out.get(k, out.get(None, 0)) for k in [*strata, None]}
+
+
 def _bin(rule: str, of: str) -> Column:
     score = RULES[rule]
     for f in FIELDS:
         score = score.replace(f, f"{of}.{f}")
-    return F.expr(f"cast(floor(({score}) * {BINS}) as int)")
+    return F.expr(f"cast(floor(sqrt({score}) * {BINS}) as int)")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", keep_text: bool = False, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs with a struct ``quality``: the FIELDS, ``base_failed`` and ``kept``.
+    """docs with a struct ``quality``: the FIELDS, ``base_failed``, ``kept`` and ``rule``, the one that rejects or null.
 
     labels: (doc_id, quality), quality 1 for good; null or other labels are left out, of several for an id the
     least counts. Null texts have no words and fail the base rule. A null stratum is a stratum. keep_text:
@@ -156,20 +193,36 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     keep = [c for c in docs.columns if c.lower() != "quality"] if keep_text else [id_col]
     m, s = fresh(docs, "measured"), fresh(docs, "stratum")
-    stratum = (col(stratum_col).cast("string") if stratum_col else F.lit("")).alias(s)
+    stratum = (F.coalesce(col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")).alias(s)
     rows = written(docs.select(*map(col, keep), stratum, measured(col(text_col)).alias(m)), "measured")
     label = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     label = label.select(F.col("doc_id").alias("__labelled"), "good")
-    held = rows.select(col(id_col).alias("__id"), F.coalesce(col(s), F.lit("")).alias("s"), col(m).alias("m")).join(label, F.col("__id") == F.col("__labelled"))
-    held = held.where("m.n_words > 0").select("s", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(r, "m").alias("bin")) for r in RULES))).alias("x"))
-    tally = held.groupBy("s", "x.rule", "x.bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    found = cutoffs([tuple(r) for r in tally.collect()], alpha, delta)
-    rejected = F.lit(False)
-    for (stratum_value, rule), at in sorted(found.items()):
-        rejected = rejected | ((F.coalesce(col(s), F.lit("")) == F.lit(stratum_value)) & (_bin(rule, m) >= at))
+    n_labels = label.count()
+    draw = F.xxhash64(F.lit(SEED), F.col("__id").cast("string")).cast("double") / 2.0**64 + 0.5
+    held = rows.select(col(id_col).alias("__id"), col(s).alias("s"), col(m).alias("m")).join(label, F.col("__id") == F.col("__labelled"))
+    held = held.where("m.n_words > 0").select(draw.alias("draw"), "s", "m", "good")
+    share = min(TUNE_SHARE, TUNE / max(1, n_labels))
+    some = held.where(F.col("draw") < share).select("good", *(_bin(r, "m").alias(f"b{k}") for k, r in enumerate(RULES))).collect()
+    steps = path(np.array([r[1:] for r in some], dtype=np.int64).reshape(-1, len(RULES)), np.array([r[0] for r in some], dtype=np.int64), alpha)
+
+    def first(of: str) -> Column:
+        """The first step of the path that rejects a row, or one more than the last."""
+        step = F.lit(len(steps) + 1)
+        for k, (rule, at) in reversed(list(enumerate(steps, 1))):
+            step = F.when(_bin(names[rule], of) >= at, k).otherwise(step)
+        return step
+
+    names = list(RULES)
+    tally = held.where(F.col("draw") >= share).withColumn("step", first("m")).groupBy("s", "step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    used = certified([tuple(r) for r in tally.collect()], len(steps), alpha, delta)
+    until = F.lit(used[None])
+    for stratum_value, step in sorted((k, v) for k, v in used.items() if k is not None):
+        until = F.when(col(s) == F.lit(stratum_value), step).otherwise(until)
     failed = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
+    rejected = first(m) <= until
+    rule = F.when(rejected, F.element_at(F.array(*(F.lit(names[r]) for r, _ in steps), F.lit("")), first(m)))
     fields = [F.col(f"{m}.{f}").alias(f) for f in FIELDS]
-    return rows.select(*map(col, keep), F.struct(*fields, failed.alias("base_failed"), (~failed & ~rejected).alias("kept")).alias("quality"))
+    return rows.select(*map(col, keep), F.struct(*fields, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), rule.alias("rule")).alias("quality"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
