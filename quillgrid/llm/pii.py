@@ -3,10 +3,11 @@
 Patterns find the base kinds (e-mail and IP addresses, card and phone numbers). Every value found is an entity
 to protect. The corpus then tells how strongly a term, a run of letters of any length, reveals an entity: with
 n(t) occurrences of a term in all texts, n(t, e) of them in texts that hold the entity, n(e) occurrences of the
-entity and N terms in all, the pointwise mutual information PMI(t; e) = log(N n(t, e) / (n(t) n(e))) is compared
+entity and N terms in all, copies of a text with entities counting once, the pointwise mutual information PMI(t; e) = log(N n(t, e) / (n(t) n(e))) is compared
 with the information IC(e) = log(N / n(e)) of the entity itself. A term whose PMI reaches GENERALISE of the
-entity's information is generalised wherever it stands in a text that holds the entity, one that reaches REMOVE is
-removed; a term needs SUPPORT occurrences in such texts. Parts of base values are not terms.
+entity's information is generalised to its kind (a name, a code with digits, another term) wherever it stands in a
+text that holds the entity, one that reaches REMOVE is removed; a term needs two such texts that
+differ. Parts of base values are not terms.
 
 Entities that the same texts hold differ by n(e) alone, and a term that reaches a share for one of them reaches it
 for the rarest: they are one group with the least n(e), so that a text with many values of its own, or copies of
@@ -36,8 +37,8 @@ PATTERNS = (
 TERM = r"\p{L}[\p{L}\p{M}\p{N}]*+"
 #: Pieces that together are a text and don't cut a term; terms are placed piece by piece, in linear time.
 _PIECE = r"(?s).{1,400}+[\p{L}\p{M}\p{N}]*+"
-GENERALISE, REMOVE, SUPPORT = 0.9, 0.99, 2
-MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
+GENERALISE, REMOVE = 0.9, 0.99
+MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "")
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -128,7 +129,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     """docs with ``base`` and ``more``: arrays of struct<start, kind, end> (kind: a place in KINDS).
 
     Null texts are empty. Rows are treated by their text alone, whatever their ids, so equal texts have equal
-    spans. keep_text: carry all columns (those named base or more are replaced), otherwise the id alone.
+    spans. A place that several entities reveal has the stronger kind; texts of any length are read as they are. keep_text: carry all columns (those named base or more are replaced), otherwise the id alone.
     """
     keep = [c for c in docs.columns if c.lower() not in ("base", "more")] if keep_text else [id_col]
     text, key, blank, of, added = (fresh(docs, x) for x in ("text", "key", "blank", "of", "added"))
@@ -138,16 +139,18 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     rows = written(rows.drop(text), "spans")
 
     holding = rows.where(F.size("base") > 0).select(col(key).alias("key"), "base", col(blank).alias("t"))
-    of_text, n_e = _groups(holding)
-    texts = holding.groupBy("key").agg(F.max("t").alias("t"), F.count("*").alias("times")).join(of_text, "key").select("key", "t.*", "times", "groups")
+    texts = written(holding.groupBy("key").agg(F.max("t").alias("t"), F.max("base").alias("base"), F.count("*").alias("times")), "once")
+    of_text, n_e = _groups(texts)
+    texts = texts.join(of_text, "key").select("key", "t.*", "times", "groups")
     texts = written(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "texts")
     # explode_outer: plain explode evaluates its array three times, for a filter too
     each = lambda name: F.explode_outer(F.regexp_extract_all(col(name).cast("string"), F.lit(TERM), F.lit(0))).alias("term")
-    said = texts.select("groups", "times", each("blank"))
-    pairs = said.select(F.explode("groups").alias("group"), F.lower("term").alias("term"), "times").groupBy("group", "term").agg(F.sum("times").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    said = texts.select("groups", F.xxhash64("key").alias("text"), each("blank"))
+    pairs = said.select(F.explode("groups").alias("group"), F.lower("term").alias("term"), "text").groupBy("group", "term")
+    pairs = pairs.agg(F.count("*").alias("n_te"), F.min("text").alias("one"), F.max("text").alias("other")).where("one != other").drop("one", "other")
     pairs = written(pairs.join(n_e, "group"), "pairs")
-    # all terms of all texts, less those of texts with an entity, and their terms outside base values
-    terms = docs.select(each(text_col), F.lit(1).cast("long").alias("n")).unionAll(texts.select(each("text"), -F.col("times"))).unionAll(texts.select(each("blank"), "times"))
+    # all terms of all texts, less those of texts with an entity, and once their terms outside base values
+    terms = docs.select(each(text_col), F.lit(1).cast("long").alias("n")).unionAll(texts.select(each("text"), -F.col("times"))).unionAll(texts.select(each("blank"), F.lit(1).cast("long")))
     terms = terms.where("term is not null").groupBy(F.lower("term").alias("term")).agg(F.sum("n").alias("n_t")).where("n_t > 0")
     terms = written(terms, "terms")
     total = terms.agg(F.sum("n_t")).first()[0] or 1
@@ -177,7 +180,9 @@ def masked(text: Column, spans: Column) -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mask = F.when(s["start"] >= acc["at"], F.element_at(name, s["kind"] + 1)).otherwise("")
+        said = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        general = F.when(said.rlike(r"\p{N}"), "[CODE]").when(said.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+        mask = F.when(s["start"] >= acc["at"], F.when(s["kind"] == 4, general).otherwise(F.element_at(name, s["kind"] + 1))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mask).alias("out"))
 
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
