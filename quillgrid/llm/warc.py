@@ -10,8 +10,10 @@ payloads against their digests, and joins revisits to their responses by digest.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import uuid
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,9 @@ from pyspark.sql import functions as F
 from .common import col, shared_dir, written
 
 END = "\r\n\r\n"
-DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of an archive file, about; a file is read as a whole.
-FILE_BYTES = 16 << 20
+#: Bytes of an archive file, about, and at most; a file is read as a whole. Pages over LARGE go to files of their own kind.
+FILE_BYTES, MOST_BYTES, LARGE = 16 << 20, 1 << 30, 1 << 18
 MIN_BYTES = 0
 
 READ = "record_type string, id string, record_id string, refers_to string, url string, digest string, payload_bytes long"
@@ -51,17 +52,23 @@ def resolved(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     return rows.join(groups, F.col("digest") == F.col("__digest"), "left").drop("__digest").withColumn("original", F.coalesce("original", col(id_col)))
 
 
-def records(found: DataFrame, id_col: str, url_col: str, payload_col: str, date: str = DATE) -> DataFrame:
-    """One text column: whole records but for the separator that ends them."""
-    page, digest = F.coalesce(col(id_col).cast("string"), F.lit("")), F.concat(F.lit("sha1:"), F.col("digest"))
+def records(found: DataFrame, id_col: str, url_col: str, payload_col: str, date: str | None = None) -> DataFrame:
+    """One text column: whole records but for the separator that ends them.
+
+    Ids are written as in a form (url_encode), so that any text, blanks and line ends included, comes back as it
+    was; a null id has no header. date: of all records, by default the time of the call.
+    """
+    date = date or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    name = lambda x: F.url_encode(x.cast("string"))
+    page, digest = F.coalesce(name(col(id_col)), F.lit("")), F.concat(F.lit("sha1:"), F.col("digest"))
     url = F.translate(F.coalesce(col(url_col).cast("string"), F.lit("")), "\r\n", "  ")
     first = col(id_col).eqNullSafe(F.col("original"))
     body = F.coalesce(col(payload_col).cast("string"), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit(END))
     block = F.when(first, F.concat(http, body)).otherwise(http)
     head = [F.lit("WARC/1.1\r\nWARC-Type: "), F.when(first, "response").otherwise("revisit"), F.lit("\r\nWARC-Record-ID: "), record_id(page, F.col("digest"))]
-    head += [F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: "), digest, F.lit("\r\nX-Page-ID: "), page]
-    other = F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("original").cast("string"), F.col("digest")), F.lit("\r\nX-Refers-To-Page: "), F.col("original").cast("string"))
+    head += [F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: "), digest, F.when(col(id_col).isNotNull(), F.concat(F.lit("\r\nX-Page-ID: "), page)).otherwise("")]
+    other = F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(name(F.col("original")), F.col("digest")), F.lit("\r\nX-Refers-To-Page: "), name(F.col("original")))
     head += [F.when(first, "").otherwise(other), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block]
     return found.select(F.concat(*head).alias("value"))
 
@@ -70,10 +77,15 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     """Writes archives of pages and returns their folder (by default in the shared folder)."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    size = pages.agg(F.avg(F.octet_length(col(payload_col).cast("binary")))).first()[0] or 0
-    per_file = max(1, int(FILE_BYTES / (size + 600)))
+    n = F.octet_length(col(payload_col).cast("binary"))
+    size, most = pages.agg(F.coalesce(F.avg(F.when(n <= LARGE, n)), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     found = resolved(pages.select(*map(col, dict.fromkeys([id_col, url_col, payload_col]))), id_col, payload_col, min_bytes)
-    records(found, id_col, url_col, payload_col).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    kinds = [(F.col("n_bytes") <= LARGE, min(FILE_BYTES / (size + 600), MOST_BYTES / LARGE))]
+    if most > LARGE:
+        kinds.append((F.col("n_bytes") > LARGE, MOST_BYTES / most))
+    for which, per_file in kinds:
+        some = records(found.where(which), id_col, url_col, payload_col)
+        some.write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(per_file))).mode("append").text(path)
     return path
 
 
@@ -105,7 +117,8 @@ def _rows(batches):
                     n = len(payload)
                     if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{heads['warc-record-id']}: the payload does not have its digest")
-                rows.append((heads["warc-type"], heads.get("x-page-id") or None, heads["warc-record-id"], heads.get("x-refers-to-page") or None, heads.get("warc-target-uri"), digest, n))
+                page, original = (None if x is None else unquote_plus(x) for x in map(heads.get, ("x-page-id", "x-refers-to-page")))
+                rows.append((heads["warc-type"], page, heads["warc-record-id"], original, heads.get("warc-target-uri"), digest, n))
             names = [x.split()[0] for x in READ.split(", ")]
             kinds = [pa.string()] * 6 + [pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
@@ -128,7 +141,8 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Writes pages as archives and reads them back, a row for each page.
 
     Null payloads are empty; null ids refer to the largest id of their payload, or are responses where there is
-    none; rows that repeat the largest id are the same page and all responses.
+    none; rows that repeat the largest id are the same page and all responses. Line ends in a URL become spaces, ids
+    come back as they are. Columns of pages besides the three are not read, whatever their names.
     """
     path = write(pages, None, id_col, url_col, payload_col, min_bytes)
     kind = dict(pages.dtypes)[id_col]
