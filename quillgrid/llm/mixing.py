@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, col, fresh, written
 
 MAX_EPOCHS = 3
-BUCKETS = 4096
+BUCKETS = 16384
 SEED = 17
 
 
@@ -28,6 +28,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(seed: int, id: Column, text: Column) -> Column:
+    """A number of 60 bits, by the MD5 of seed, id and text."""
+    said = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id.cast("string"), F.lit("")), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """sizes (source, source_size) with ``target``. Sources by code point, null last, weigh 1, 2, 3, repeating.
 
@@ -48,12 +54,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs with a struct ``mix``: size, source_size, target, repeats (times the row is taken) and taken.
 
     A null source is a source of its own; null texts have size 0 and are taken 0 words. Equal rows may tie in
-    the seeded order; whichever comes first, the result is the same set of rows. keep_text: carry all columns
+    the seeded order; whichever comes first, the result is the same set of rows. Texts of any length count as
+    they are; an empty table gives an empty mix. keep_text: carry all columns
     (one named mix is replaced), otherwise id and source.
     """
     keep = [c for c in docs.columns if c.lower() != "mix"] if keep_text else [id_col]
     source, size, draw, of, to, once = (fresh(docs, x) for x in ("source", "size", "draw", "of", "to", "once"))
-    rows = docs.select(*map(col, keep), col(source_col).alias(source), word_count(col(text_col)).alias(size), F.xxhash64(F.lit(seed), col(id_col), col(text_col)).alias(draw))
+    rows = docs.select(*map(col, keep), col(source_col).alias(source), word_count(col(text_col)).alias(size), drawn(seed, col(id_col), col(text_col)).alias(draw))
     rows = written(rows, "sized")
     bucket = F.pmod(col(draw), F.lit(BUCKETS)).cast("int")
     by_bucket = rows.groupBy(col(source).alias("source"), bucket.alias("bucket")).agg(F.sum(size).alias("words"))
