@@ -42,12 +42,12 @@ from .common import arrow_function, col, utf8, written
 from .induced import HELD, Grown, numbers
 
 #: Bytes of strings of a shard, about.
-SHARD = 2_000_000
+SHARD = 4_000_000
 #: Different strings of one anchor that are sorted together.
 HOT = 4000
 #: A repeated passage is reported, whatever its bytes, if it has more words than this.
 PASSAGE_WORDS = 50
-CUT_EVERY = 24
+CUT_EVERY = 40
 _WIDTHS = (SHORT, WIDTH)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = 1 << 18
@@ -248,56 +248,86 @@ class Shard:
     def repeated(self, widths: tuple[int, ...] = (WIDTH,)) -> np.ndarray:
         """For each byte a number whose bit k says that the window of widths[k] from there, within its string, also starts elsewhere."""
         flags = self._numbers(len(self.data) + 1, np.uint8)
-        n = len(self.cut)
-        # a window s is looked up at its first cut from s + 4 on, at a distance d of ``least`` to ``most``
-        least, most, owners = self._numbers(n), self._numbers(n), self._numbers(n)
-        for a, z in self._chunks(n):
-            cut = np.asarray(self.cut[a:z])
-            owner = np.searchsorted(self.starts, cut, side="right") - 1
-            before = np.asarray(self.cut[a - 1 : z - 1]) if a else np.r_[-1, self.cut[: z - 1]][: z - a]
-            start = self.starts[owner]
-            owners[a:z] = owner
-            most[a:z] = np.minimum(cut - start, np.where(before > start, cut - before + 3, len(self.data)))
+        self._by_cut(flags, widths)
         for k, width in enumerate(widths):
-            last = np.minimum(self.ends - width, self.lasts)
-            for a, z in self._chunks(n):
-                least[a:z] = np.maximum(4, self.cut[a:z] - last[np.asarray(owners[a:z])])
-            self._by_cut(flags, np.uint8(1 << k), width, least, most)
             self._without_cut(flags, np.uint8(1 << k), width)
         return flags[:-1]
 
-    def _by_cut(self, flags: np.ndarray, bit: np.uint8, width: int, least: np.ndarray, most: np.ndarray) -> None:
+    def _cuts(self, widths: tuple[int, ...]) -> dict[str, np.ndarray]:
+        """The cuts in the order of their suffixes: place, least ``lcp`` since the cut before, and the distances of the
+        windows that are looked up there: up to ``most``, from ``least<width>`` on."""
         n, total = len(self.cut), len(self.lcp)
-        live, digest = self._numbers(n), self._numbers(n, np.uint64)
-        interval = self._numbers(total, np.int32)
+        of_rank = self._numbers(total)  # one more than the cut of a rank
         for a, z in self._chunks(n):
-            live[a:z] = np.arange(a, z)
-        for d in range(1, width):
-            kept = 0
-            for a, z in self._chunks(n):
-                some = np.asarray(live[a:z])
-                some = some[most[some] >= d]
-                digest[some] = digest[some] * _BASE + self.data[self.cut[some] - d] + np.uint64(1)
-                live[kept : kept + len(some)] = some
-                kept += len(some)
-            n = kept
-            if not n:
-                return
-            if d < 4:
+            of_rank[np.asarray(self.rank[a:z])] = np.arange(a, z) + 1
+        out = {k: self._numbers(n, np.int32 if k == "lcp" else np.int64) for k in ("place", "lcp", "most", *(f"least{w}" for w in widths))}
+        last = {w: np.minimum(self.ends - w, self.lasts) for w in widths}
+        done, low = 0, WIDTH
+        for a, z in self._chunks(total):
+            at = np.flatnonzero(of_rank[a:z])
+            if not len(at):
+                low = min(low, int(self.lcp[a:z].min()))
                 continue
-            carry = 0
-            for a, z in self._chunks(total):
-                part = np.cumsum(self.lcp[a:z] < width - d) + carry
-                interval[a:z] = part
-                carry = int(part[-1])
-            keys, places = Grown(np.uint64, self.folder, self.held), Grown(np.int64, self.folder, self.held)
+            lcp = np.asarray(self.lcp[a:z])
+            least = np.minimum.reduceat(lcp[: at[-1] + 1], np.r_[0, at[:-1] + 1])
+            least[0] = min(low, least[0])
+            low = int(lcp[at[-1] + 1 :].min(initial=WIDTH))
+            here = np.asarray(of_rank[a:z])[at] - 1
+            cut = np.asarray(self.cut[here])
+            owner = np.searchsorted(self.starts, cut, side="right") - 1
+            start = self.starts[owner]
+            before = np.where(here > 0, np.asarray(self.cut[np.maximum(here - 1, 0)]), -1)
+            to = slice(done, done + len(at))
+            out["place"][to], out["lcp"][to] = cut, least
+            out["most"][to] = np.minimum(cut - start, np.where(before > start, cut - before + 3, len(self.data)))
+            for w in widths:
+                out[f"least{w}"][to] = np.maximum(4, cut - last[w][owner])
+            done += len(at)
+        return out
+
+    def _by_cut(self, flags: np.ndarray, widths: tuple[int, ...]) -> None:
+        """Windows looked up at their first cut, at all distances d in turn; cuts that serve no greater one are left out."""
+        live, n = self._cuts(widths), len(self.cut)
+        live["digest"] = self._numbers(n, np.uint64)
+        for d in range(1, max(widths)):
+            keys = {w: (Grown(np.uint64, self.folder, self.held), Grown(np.int64, self.folder, self.held)) for w in widths if 4 <= d < w}
+            carry = dict.fromkeys(keys, 0)
             for a, z in self._chunks(n):
-                some = np.asarray(live[a:z])
-                some = some[least[some] <= d]
-                key = interval[self.rank[some]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + digest[some] * np.uint64(0x165667B19E3779F9)
-                keys.append(key ^ (key >> np.uint64(32)))
-                places.append(self.cut[some] - d)
-            self._mark(flags, bit, keys.array(), places.array())
+                place = np.asarray(live["place"][a:z])
+                # of a cut that serves no distance from d on it doesn't matter what stands there
+                live["digest"][a:z] = live["digest"][a:z] * _BASE + self.data[np.maximum(place - d, 0)] + np.uint64(1)
+                use = live["most"][a:z] >= d
+                for w, (key, at) in keys.items():
+                    interval = np.cumsum(live["lcp"][a:z] < w - d) + carry[w]
+                    carry[w] = int(interval[-1])
+                    own = np.flatnonzero(use & (live[f"least{w}"][a:z] <= d))
+                    k = interval[own].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + live["digest"][a:z][own] * np.uint64(0x165667B19E3779F9)
+                    key.append(k ^ (k >> np.uint64(32)))
+                    at.append(place[own] - d)
+            for k, w in enumerate(widths):
+                if w in keys:
+                    self._mark(flags, np.uint8(1 << k), *(x.array() for x in keys[w]))
+            if d % 8 == 0:
+                n = self._shortened(live, n, d)
+                if not n:
+                    return
+
+    def _shortened(self, live: dict[str, np.ndarray], n: int, d: int) -> int:
+        """Leaves out cuts that serve no distance over d, in place; the next one takes over their least prefix."""
+        done, low = 0, WIDTH
+        for a, z in self._chunks(n):
+            at = np.flatnonzero(live["most"][a:z] > d)
+            lcp = np.asarray(live["lcp"][a:z])
+            if not len(at):
+                low = min(low, int(lcp.min()))
+                continue
+            least = np.minimum.reduceat(lcp[: at[-1] + 1], np.r_[0, at[:-1] + 1])
+            least[0] = min(low, least[0])
+            low = int(lcp[at[-1] + 1 :].min(initial=WIDTH))
+            for k, x in live.items():
+                x[done : done + len(at)] = least if k == "lcp" else np.asarray(x[a:z])[at]
+            done += len(at)
+        return done
 
     def _without_cut(self, flags: np.ndarray, bit: np.uint8, width: int) -> None:
         """Windows from s with no cut between s + 4 and s + width - 1, by their digests."""
