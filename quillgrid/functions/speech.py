@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,25 +13,25 @@ from . import names, values
 _SCALES = ((1e12, "trillion"), (1e9, "billion"), (1e6, "million"), (1e3, "thousand"))
 
 
-def _plain(x: float, places: int) -> str:
-    text = f"{x:,.{places}f}"
-    return text.rstrip("0").rstrip(".") if "." in text else text
+def _rounded(x: float, places: int) -> str:
+    """Halves upwards, no zeros at the end, no grouping."""
+    size = 10**places
+    r = math.floor(x * size + 0.5) / size
+    return str(int(r)) if r == int(r) else f"{r:.{places}f}".rstrip("0")
 
 
 def number(x: float, percent: bool = False) -> str:
     """From 10,000 on in thousands, millions and so on with one decimal; smaller to two places; below one to two digits."""
-    sign, a = ("minus " if x < 0 else ""), abs(x)
-    said = None
-    if a >= 10_000:
-        for k, (size, word) in enumerate(_SCALES):
-            if a >= size or round(a / size, 1) >= 1 and a >= size * 0.9995:
-                if round(a / size, 1) >= 1000 and k:
-                    size, word = _SCALES[k - 1]
-                said = f"{_plain(round(a / size, 1), 1)} {word}"
-                break
-    if said is None:
-        said = _plain(a, 2) if a >= 1 or a == 0 else f"{float(f'{a:.2g}'):.10f}".rstrip("0").rstrip(".")
-    return f"{sign}{said}{' percent' if percent else ''}"
+    t = values.py_tidy(x)
+    a = abs(t)
+    if 1 <= a < 10_000 and float(_rounded(a, 2)) >= 10_000:
+        a = float(_rounded(a, 2))
+    scale = next(((size, word) for size, word in _SCALES if a >= 10_000 and (a >= size or float(_rounded(a / size, 1)) >= 1 and a >= size * 0.9995)), None)
+    if scale:
+        said = f"{_rounded(a / scale[0], 1)} {scale[1]}"
+    else:
+        said = _rounded(a, 2) if a >= 1 or a == 0 else f"{float(f'{a:.2g}'):.10f}".rstrip("0").rstrip(".")
+    return f"{'minus ' if t < 0 else ''}{said}{' percent' if percent else ''}"
 
 
 def number_column(c: Column) -> Column:
@@ -41,7 +42,7 @@ def number_column(c: Column) -> Column:
         hit = (a >= 10_000) & (F.round(a / size, 1) >= 1) & (a >= size * 0.9995)
         said = F.concat(one(F.round(a / size, 1)), F.lit(f" {word}"))
         out = F.when(hit, said) if out is None else out.when(hit, said)
-    two = F.regexp_replace(F.regexp_replace(F.format_number(a, 2), "0+$", ""), r"\.$", "")
+    two = F.regexp_replace(F.regexp_replace(F.replace(F.format_number(a, 2), F.lit(",")), "0+$", ""), r"\.$", "")
     small = F.regexp_replace(F.format_string("%.2g", a).cast("double").cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
     return F.concat(F.when(c < 0, "minus ").otherwise(""), out.when((a >= 1) | (a == 0), two).otherwise(small))
 

@@ -18,6 +18,7 @@ from .names import MONTHS
 
 #: White space that is trimmed from cells.
 WS = r"[\s   -     　﻿]"
+SPACES = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Currency marks and truth words.
 MARK = r"(?:[$£€¥₫]|VNĐ|VND|USD|EUR|GBP|đồng|dong|đ)"
 TRUE, FALSE = ("true", "yes", "y", "có"), ("false", "no", "n", "không")
@@ -32,11 +33,12 @@ _GROUPS = r"(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]{1,2}(?:,[0-9]{2})+,[0-9]{3})"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (trim(c) == "")
+    """Null or nothing but white space; a cell that starts with a visible ASCII character is told by that alone."""
+    return c.isNull() | F.when((c >= "!") & (c < "\x7f"), False).otherwise(trim(c) == "")
 
 
 def tidy(c: Column) -> Column:

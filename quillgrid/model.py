@@ -21,6 +21,9 @@ class QueryError(ValueError):
 
 @dataclass
 class Column:
+    """A column of a region. typed: what its cells are without being read ("number", "date", "boolean", "integer" for
+    one that is asked by its text), where the source has a type; such a cell is blank only if it is null."""
+
     i: int
     letter: str
     path: tuple[str, ...]
@@ -30,6 +33,7 @@ class Column:
     date_order: str = "mdy"
     identifier: str | None = None
     number_note: str | None = None
+    typed: str | None = None
     profile: dict[str, Any] = field(default_factory=dict)
 
     @property
@@ -39,7 +43,8 @@ class Column:
 
 @dataclass
 class Region:
-    """A queryable table. ``df`` has _row, _is_summary, and for column i its text c<i>, number n<i>, instant d<i>."""
+    """A queryable table. ``df`` has _row, _is_summary, and for column i its text c<i>, number n<i>, instant d<i>,
+    truth b<i>, and the typed value v<i> of integers that are asked by their text."""
 
     id: str
     title: str
@@ -56,6 +61,8 @@ class Region:
     raw: list[list[Any]] | None = None
     origin: tuple[int, int] = (0, 0)
     revision: int = 0
+    #: How a file's cells were read: order of dates, convention of numbers, merges of the table.
+    reading: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -29,13 +29,15 @@ COMPARISONS = (
     ("lt", r"(?:less than|fewer than|under|below|smaller than|lower than|before|earlier than)"),
 )
 NUMBER = r"(?:[$£€¥₫]\s*)?-?[\d][\d,.]*\s*(?:k|m|bn|thousand|million|billion|trillion|percent|%)?"
-DATE = r"(?:(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\.?(?:\s+\d{1,2}(?:st|nd|rd|th)?)?(?:,?\s+\d{4})?|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
+DATE = r"(?:(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\.?(?:\s+\d{1,2}(?:st|nd|rd|th)?(?!\w))?(?:,?\s+\d{4})?|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
 WORD_NUMBERS = {"no": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10}
 MORE = r"(?:more|higher|greater|larger|bigger|later|better)"
 LESS = r"(?:less|fewer|lower|smaller|earlier|worse)"
 #: Words that say nothing of a table.
 SMALL = frozenset("what which where when whose show list tell give many much does have with from that this these those there about please them they".split())
+#: Words after "in", "for" or "of" that name no rows.
+NOT_VALUES = frozenset("each every total order table sheet file rows records entries figures average everything altogether than between more less over under above below year month quarter week least".split())
 WHICH = "Which column do you mean?"
 #: What is said without a table, and the answer.
 FIXED = (
@@ -56,6 +58,13 @@ def stem(word: str) -> str:
     return names.singular(word)
 
 
+def _phrases(text: str, most: int = 6) -> set[str]:
+    """The phrases of a text of up to so many words, as they are written."""
+    at = [m.span() for m in re.finditer(r"\S+", text)]
+    ends = [(i, j) for i in range(len(at)) for j in range(i, min(i + most, len(at)))]
+    return {text[at[i][0] : at[j][1]].strip(".,;:!?\"'()") for i, j in ends} - {""}
+
+
 class Router:
     def __init__(self, tools: Tools):
         self.tools, self.table, self.sheet = tools, None, None
@@ -63,7 +72,7 @@ class Router:
         self.last_answer: str | None = None
         self.figure: float | None = None
         self.pending: str | None = None
-        self.known: dict[tuple, list[str]] = {}
+        self.known: dict[tuple, dict[int, list[str]]] = {}
         self.spoken = ""
 
     # ---- words to columns and values ----
@@ -97,41 +106,66 @@ class Router:
         raise QueryError(WHICH, f"The columns of numbers are {cat.listing(own)}." if own else "There is no column of numbers.")
 
     def value_filters(self, text: str) -> tuple[list[Filter], str]:
-        """Conditions by values that a column holds, as whole words of the text; several of a column mean any of them."""
+        """Conditions by values that a column holds, as whole words of the text; several of a column mean any of them.
+
+        Values are looked up by the phrases of the text, so a table of any size is read once and sends back no more
+        values than there are phrases.
+        """
         folded, out = fold(text), []
-        for c in self.region().columns:
-            if c.kind not in ("category", "text") or c.identifier:
-                continue
-            known = c.profile.get("categories") or self._values(c)
+        held = self._values(text)
+        for c in self._worded():
             hits = []
-            for v in sorted(known, key=len, reverse=True):
-                pattern = rf"(?<!\w){re.escape(fold(v))}(?!\w)"
-                if len(v) > 1 and re.search(pattern, folded):
+            for v in sorted(held[c.i], key=len, reverse=True):
+                pattern = rf"(?<!\w){re.escape(fold(v.strip()))}(?!\w)"
+                if len(v.strip()) > 1 and re.search(pattern, folded):
                     hits.append(v)
                     folded = re.sub(pattern, " ", folded)
             if hits:
                 no = re.search(r"\b(?:not|except|without|excluding|other than)\b", folded)
                 op = "neq" if no else "eq"
                 out.append(Filter(c.name, op, hits[0]) if len(hits) == 1 else Filter(c.name, op, None, tuple(hits)))
-        return out or self._partly(folded), folded
+        if not out:
+            out, folded = self._partly(folded)
+        return out, folded
 
-    def _partly(self, folded: str) -> list[Filter]:
-        """A condition by a word that only one value has, such as the brand of a longer name."""
+    def _worded(self) -> list:
+        return [c for c in self.region().columns if c.kind in ("category", "text") and not c.identifier]
+
+    def _asked(self, folded: str) -> list[str]:
+        """Words of a text that may be part of a value: no headings, no words of the question itself."""
         headings = {stem(w) for c in self.region().columns for w in re.findall(r"\w+", fold(c.name))}
-        asked = {w for w in re.findall(r"\w+", folded) if len(w) > 3 and w not in SMALL and stem(w) not in headings and not any(re.search(p, w) for _, p in AGGREGATE_WORDS)}
-        hits = []
-        for c in self.region().columns:
-            if c.kind in ("category", "text") and not c.identifier:
-                hits += [(c.name, v) for v in c.profile.get("categories") or self._values(c) if asked & set(re.findall(r"\w+", fold(v)))]
-        return [Filter(hits[0][0], "eq", hits[0][1])] if len(hits) == 1 else []
+        return [w for w in re.findall(r"\w+", folded) if len(w) > 3 and w not in SMALL and stem(w) not in headings and not any(re.search(p, w) for _, p in AGGREGATE_WORDS)]
 
-    def _values(self, c) -> list[str]:
-        r = self.region()
-        if r.row_count is None or r.row_count > 2000:
-            return []
-        key = (r.id, r.revision, c.i)
+    def _partly(self, folded: str) -> tuple[list[Filter], str]:
+        """A condition by a word that only one value has, such as the brand of a longer name; and the rest of the text."""
+        asked = self._asked(folded)
+        if not asked:
+            return [], folded
+        r, own = self.region(), self._worded()
+        parts = {c.i: F.split(F.lower(f"c{c.i}"), r"[^\p{L}\p{M}\p{N}_]+") for c in own}
+        has = lambda c, w: F.array_contains(parts[c.i], w)
+        ends = [f(F.when(has(c, w), values.trim(F.col(f"c{c.i}")))).alias(f"{name}{c.i}_{k}") for c in own for k, w in enumerate(asked) for f, name in ((F.min, "a"), (F.max, "z"))]
+        found = r.df.where("not _is_summary").agg(*ends).first() if ends else None
+        hits = {(c.name, v) for c in own for k in range(len(asked)) for v in (found[f"a{c.i}_{k}"], found[f"z{c.i}_{k}"]) if v is not None}
+        if len(hits) != 1:
+            return [], folded
+        (column, value), = hits
+        told = set(re.findall(r"\w+", fold(value)))
+        return [Filter(column, "eq", value)], re.sub(r"\w+", lambda m: " " if m[0] in told else m[0], folded)
+
+    def _values(self, text: str) -> dict[int, list[str]]:
+        """Values of the columns of words that are a phrase of the text: one pass over the table."""
+        r, own = self.region(), self._worded()
+        key = (r.id, r.revision, text)
         if key not in self.known:
-            self.known[key] = [x["value"] for x in composite.distinct_values(r, c.name).collect()]
+            held = {c.i: list(c.profile["categories"]) for c in own if c.profile.get("categories")}
+            rest = [c for c in own if c.i not in held]
+            said = {t for full in (text.lower(), fold(text)) for t in _phrases(full)}
+            if rest and said:
+                value = lambda c: values.trim(F.col(f"c{c.i}"))
+                found = r.df.where("not _is_summary").agg(*(F.collect_set(F.when(F.lower(value(c)).isin(*said), value(c))).alias(f"k{c.i}") for c in rest)).first()
+                held |= {c.i: sorted(found[f"k{c.i}"]) for c in rest}
+            self.known = {key: {c.i: held.get(c.i, []) for c in own}}
         return self.known[key]
 
     def _repeats(self, c) -> bool:
@@ -353,8 +387,9 @@ class Router:
             return found
         conditions, rest = self.comparisons(text)
         follow = self.last is not None and re.match(r"(?:and|what about|how about|only|just)\b", text)
-        values_in, _ = self.value_filters(rest)
+        values_in, left = self.value_filters(rest)
         filters = conditions + values_in
+        self._refuse(left)
         aggregate = next((a for a, words in AGGREGATE_WORDS if re.search(words, rest)), None)
         m = re.search(r"\b(?:by|per|for each|in each|for every|broken down by|across)\s+(?:the\s+)?(\w+(?:\s\w+)?)", rest)
         group = next((c.name for c in self.columns_in(m[1]) if not c.measure), None) if m else None
@@ -423,6 +458,14 @@ class Router:
             out |= {"result": n.value if n else text, "spoken": f"{c.name} is {speech.cell(text, c.kind, c.date_order, c.identifier)}."}
         return out
 
+    def _refuse(self, left: str) -> None:
+        """A word at a question's end that names rows, after where, for, from or in, must be a value or a heading: else the
+        answer would be about other rows than were asked for. left: the question without the conditions understood."""
+        for m in re.finditer(r"\b(?:where|for|from|in)\s+(?:the\s+|all\s+|any\s+|only\s+)?((?:\w+\s*){1,4})$", left):
+            odd = [w for w in self._asked(m[1]) if not w.isdigit() and values.month_number(w) is None and w not in NOT_VALUES]
+            if odd:
+                raise QueryError(f"I don't find {speech.listed([repr(w) for w in odd[:3]], 'or')} in this table.", f"The columns are {cat.listing(self.region().columns)}.")
+
     def _unknown(self, text: str) -> list[str]:
         """The words of a question that neither the table nor this router knows; three at most are named."""
         headings = {stem(w) for c in self.region().columns for w in re.findall(r"\w+", fold(c.name))}

@@ -62,7 +62,7 @@ def than_row(region: Region, column: str, op: str, key_column: str, key: str, fi
     """Rows whose number or date compares with that of the row named by a key; asks if several rows have the name."""
     c, k = catalog.resolve(region, column), catalog.resolve(region, key_column)
     typed = f"d{c.i}" if c.kind == "date" else f"n{c.i}"
-    named = region.df.where("not _is_summary").where(compile.one(region, k, "eq", key))
+    named = region.df.where("not _is_summary").where(compile.one(region, k, "eq", key, bare=True))
     if len(named.limit(2).collect()) > 1:
         raise QueryError(f'Several rows are called "{names.clean(key, 40)}".', "Ask which one they mean.")
     other = named.select(F.col(typed).alias("_other"))
@@ -111,7 +111,7 @@ def breakdown(region: Region) -> str | None:
     usable = [c for c in region.columns if c.kind in ("text", "category", "boolean") and not c.identifier]
     if not usable:
         return None
-    counts = region.df.where("not _is_summary").agg(F.count("*").alias("n"), *(F.approx_count_distinct(f"c{c.i}").alias(f"k{c.i}") for c in usable)).first()
+    counts = region.df.where("not _is_summary").agg(F.count("*").alias("n"), *(F.count_distinct(f"c{c.i}").alias(f"k{c.i}") for c in usable)).first()
     some = [(counts[f"k{c.i}"], c.i, c.name) for c in usable if 1 < counts[f"k{c.i}"] < counts["n"]]
     return min(some)[2] if some else None
 

@@ -6,7 +6,6 @@ These are judgements about a single sheet, made in order from evidence; many she
 from __future__ import annotations
 
 import datetime as dt
-import math
 import re
 from dataclasses import dataclass, field
 
@@ -268,9 +267,9 @@ def same(a: float, b: float) -> bool:
 
 
 def shows(told: float, value: float) -> bool:
-    """Whether a figure, rounded as it may be, tells a value."""
-    digits = max(0, -math.floor(math.log10(abs(told))) + 2) if told else 2
-    return same(told, value) or any(same(told, round(value, d)) for d in range(0, min(digits, 6) + 1))
+    """Whether a figure tells a value, rounded to as many places as the figure is written with."""
+    places = len(repr(told).partition(".")[2].rstrip("0")) if "e" not in repr(told) else 6
+    return same(told, value) or abs(told - value) <= 0.5 * 10**-places * (1 + 1e-9) + abs(value) * 1e-12
 
 
 def summary_rows(rows: list[list]) -> list[int]:

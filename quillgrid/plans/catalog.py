@@ -55,7 +55,17 @@ def region_of(df: DataFrame, id: str, order_by: str | Expr | None = None, kinds:
             select.append((c.cast("timestamp_ntz") if spark_type in ("timestamp", "timestamp_ntz", "date") else values.date(raw, day_order)).alias(f"d{i}"))
         if kind == "boolean":
             select.append((c if spark_type == "boolean" else values.truth(raw)).alias(f"b{i}"))
-        column = Column(i, names.letters(i), (name,), names.spoken(name), kind, kind in ("number", "currency", "percent"), day_order, code)
+        typed = None
+        if numeric and kind in ("number", "currency", "percent"):
+            typed = "number"
+        elif numeric and "int" in spark_type:
+            typed = "integer"
+            select.append(c.cast("long").alias(f"v{i}"))
+        elif spark_type in ("timestamp", "timestamp_ntz", "date") and kind == "date":
+            typed = "date"
+        elif spark_type == "boolean" and kind == "boolean":
+            typed = "boolean"
+        column = Column(i, names.letters(i), (name,), names.spoken(name), kind, kind in ("number", "currency", "percent"), day_order, code, typed=typed)
         out.append(column)
         if label == name:
             found.append(i)

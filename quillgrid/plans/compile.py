@@ -1,13 +1,17 @@
 """From a query form to DataFrame plans.
 
 Filters are three-valued columns: true, false, and null for a cell that can't be read as the filter needs. From
-them come, in one pass, the rows that match, the summary rows that would, and the rows left out unread. Typed
-comparisons keep a range on the bare column beside the rounded one, so that scans can skip row groups.
+them come, in one pass, the rows that match, the summary rows that would, and the rows left out unread.
+
+Where only the rows that match are wanted, a filter is written as plain conditions instead, without a case for blank
+cells: on a typed column a range, an equality or a test for null of the column as it is stored, beside the rounded
+comparison, so that it reaches the scan; on text the test for null does.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column as Expr
@@ -50,75 +54,97 @@ def _month_bound(region: Region, c: Column, op: str, value: str) -> tuple[str, s
 
 
 def _numeric(n: Expr, op: str, x: float) -> Expr:
-    """A comparison of the rounded value, with a bare range that a scan can use."""
-    exact = _COMPARE[op](values.tidy(n), F.lit(x))
+    """A comparison of the rounded value; a bare range decides all but the nearest values, and a scan can use it."""
     slack = abs(x) * 1e-11 + 1e-300
-    wide = {"eq": n.between(x - slack, x + slack), "gt": n >= x - slack, "gte": n >= x - slack, "lt": n <= x + slack, "lte": n <= x + slack}.get(op)
-    return exact if wide is None else wide & exact
+    exact = _COMPARE[op](values.tidy(n), F.lit(x))
+    if op == "eq":
+        return n.between(x - slack, x + slack) & exact
+    if op == "neq":
+        return (n < x - slack) | (n > x + slack) | exact
+    up = op in ("gt", "gte")
+    return (n >= x - slack if up else n <= x + slack) & ((n > x + slack if up else n < x - slack) | exact)
 
 
-def one(region: Region, c: Column, op: str, value: str) -> Expr:
-    """The outcome of one filter with one value; a blank cell is false for every operator here."""
-    raw = F.col(f"c{c.i}")
-    full = ~values.blank(raw)
+def _stored(c: Column) -> Expr:
+    """The column whose null is a blank cell."""
+    return F.col({"number": "n", "date": "d", "boolean": "b", "integer": "v"}.get(c.typed, "c") + str(c.i))
+
+
+def _span(d: Expr, first: dt.datetime, after: dt.datetime) -> Expr:
+    return (d >= _stamp(first)) & (d < _stamp(after))
+
+
+def one(region: Region, c: Column, op: str, value: str, bare: bool = False) -> Expr:
+    """The outcome of one filter with one value; a blank cell is false for every operator here.
+
+    bare: as a condition for where(), which takes null for false.
+    """
+    raw, stored = F.col(f"c{c.i}"), _stored(c)
     text, want = F.lower(values.trim(raw)), values.strip(value).lower()
 
-    def guarded(e: Expr) -> Expr:
-        return F.when(full, e).otherwise(False)
+    def guarded(e: Expr, told: bool = False) -> Expr:
+        """told: e is true of no blank cell."""
+        if bare:
+            return e if c.typed and told else stored.isNotNull() & e if told or c.typed else stored.isNotNull() & ~values.blank(raw) & e
+        return F.when(stored.isNotNull() if c.typed else ~values.blank(raw), e).otherwise(False)
 
     if op == "contains":
-        return guarded(F.lower(raw).contains(want))
+        return guarded(F.lower(raw).contains(want), want != "")
     signed = (lambda e: ~e) if op == "neq" else (lambda e: e)
     if op in ("eq", "neq"):
         if c.kind == "boolean" and values.py_truth(value) is not None:
-            return guarded(signed(F.col(f"b{c.i}") == values.py_truth(value)))
+            return guarded(signed(F.col(f"b{c.i}") == values.py_truth(value)), True)
         if c.kind == "date" and not values.read_date(value, c.date_order):
             month, day = values.month_only(value), values.month_day(value, c.date_order)
             d = F.col(f"d{c.i}")
+            if month and month[1]:
+                n, year = month
+                return guarded(signed(_span(d, dt.datetime(year, n, 1), dt.datetime(year + n // 12, n % 12 + 1, 1))), True)
             if month:
-                hit = F.month(d) == month[0]
-                return guarded(signed(hit & (F.year(d) == month[1]) if month[1] else hit))
+                return guarded(signed(F.month(d) == month[0]), True)
             if day:
-                return guarded(signed((F.month(d) == day[0]) & (F.dayofmonth(d) == day[1])))
+                return guarded(signed((F.month(d) == day[0]) & (F.dayofmonth(d) == day[1])), True)
         if c.identifier == "phone":
             digits = "".join(x for x in value.replace("+84", "0", 1) if x.isdigit()).lstrip("0")
             if len(digits) >= 6:
                 return guarded(signed(values.phone(raw) == digits))
+        if c.typed == "integer" and re.fullmatch(r"0|-?[1-9]\d{0,17}", want):
+            return guarded(signed(stored == F.lit(int(want)).cast("long")), True)
     if c.kind in (*NUMERIC, "mixed"):
         x = values.spoken_number(value)
         if x is not None:
-            return guarded(_numeric(F.col(f"n{c.i}"), op, x))
+            return guarded(_numeric(F.col(f"n{c.i}"), op, x), True)
     if c.kind in ("date", "mixed"):
         d = values.read_date(value, c.date_order)
         if d is not None:
-            return guarded(_COMPARE[op](F.col(f"d{c.i}"), _stamp(d)))
+            return guarded(_COMPARE[op](F.col(f"d{c.i}"), _stamp(d)), True)
     if c.kind in (*NUMERIC, "date") and op not in ("eq", "neq"):
         what = "a date" if c.kind == "date" else "a number"
         raise QueryError(f'I can\'t read "{names.clean(value, 40)}" as {what}.', f"Say it as {what}, like {'July 4, 2026' if c.kind == 'date' else '1200'}.")
-    return guarded(_COMPARE[op](text, F.lit(want)))
+    return guarded(_COMPARE[op](text, F.lit(want)), op in ("eq", "gt", "gte") and want != "")
 
 
-def outcome(region: Region, f: Filter) -> Expr:
-    """true, false or null (unreadable) for each row."""
+def outcome(region: Region, f: Filter, bare: bool = False) -> Expr:
+    """true, false or null (unreadable) for each row; bare: as a condition for where(), which takes null for false."""
     if f.op not in OPS:
         raise QueryError(f'"{f.op}" is not a comparison.', f"Use one of {', '.join(OPS)}.")
     c = catalog.resolve(region, f.column)
-    raw = F.col(f"c{c.i}")
+    raw, stored = F.col(f"c{c.i}"), _stored(c)
     if f.op == "is_empty":
-        return values.blank(raw)
+        return stored.isNull() if c.typed else values.blank(raw)
     if f.op == "is_not_empty":
-        return ~values.blank(raw)
+        return stored.isNotNull() if c.typed else raw.isNotNull() & ~values.blank(raw)
     many = [v for v in (f.values or ()) if values.strip(v)]
     if not many and not values.strip(f.value or ""):
         raise QueryError(f"I need something to compare {c.name} with.", "Ask for the value.")
     if f.values and f.op in ("eq", "neq"):
-        each = [one(region, c, "eq", v) for v in many]
-        any_of = reduce(lambda a, b: a | b, each)
-        return any_of if f.op == "eq" else ~any_of  # a blank cell passes "not in"
+        bare = bare and f.op == "eq"
+        any_of = reduce(lambda a, b: a | b, (one(region, c, "eq", v, bare) for v in many))
+        return ~any_of if f.op == "neq" else stored.isNotNull() & any_of if bare else any_of  # a blank cell passes "not in"
     op, value = f.op, f.value if f.value else many[0]
     if c.kind == "date" and op in ("gt", "gte", "lt", "lte"):
         op, value = _month_bound(region, c, op, value)
-    return one(region, c, op, value)
+    return one(region, c, op, value, bare)
 
 
 def states(region: Region, spec: QuerySpec) -> DataFrame:
@@ -142,7 +168,7 @@ def matching(region: Region, spec: QuerySpec) -> DataFrame:
     """The rows that count; the filters stand as such, for the scan to use."""
     df = region.df.where("not _is_summary")
     for f in spec.filters:
-        df = df.where(outcome(region, f))
+        df = df.where(outcome(region, f, bare=True))
     return df
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import values
@@ -12,30 +10,9 @@ from .model import Filter, QuerySpec, Region
 from .operators import composite, structure
 from .plans import compile
 from .plans.catalog import region_of
+from .registry import ORACLES, QUERIES, query, read, tidy
 from .streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        name = f.__name__.strip("_")
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-def tidy(x: str) -> str:
-    return f"CAST(printf('%.11e', {x}) AS DOUBLE)"
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def orders(spark, sf_dir, **more) -> Region:
     return region_of(read(spark, sf_dir, "orders"), "orders", order_by="o_orderkey", **more)
@@ -240,7 +217,7 @@ def filter_unreadable_report(spark, sf_dir):
     return compile.totals(holed(spark, sf_dir), spec(("status", "eq", "F"), ("price", "gt", "1000"))).select("matched", "unread")
 
 
-@query("SELECT false AS any_0, true AS any_1, CAST(0 AS BIGINT) AS matched")
+@query("SELECT coalesce(bool_or(o_totalprice > 1e8), false) AS any_0, coalesce(bool_or(lower(o_orderstatus) = 'f'), false) AS any_1, CAST(count(*) FILTER (o_totalprice > 1e8 AND lower(o_orderstatus) = 'f') AS BIGINT) AS matched FROM orders")
 def filter_first_empty(spark, sf_dir):
     t = compile.totals(orders(spark, sf_dir), spec(("o_totalprice", "gt", "100 million"), ("o_orderstatus", "eq", "F")))
     return t.select("any_0", "any_1", "matched")
@@ -353,10 +330,11 @@ def rows_combined(spark, sf_dir):
     return compile.totals(customers(spark, sf_dir), s).select("matched", "value")
 
 
-@query(f"""SELECT CAST(count(price) + count(*) FILTER (price IS NULL AND NOT blank_price) AS BIGINT) AS non_empty, CAST(count(*) FILTER (blank_price) AS BIGINT) AS empty,
+@query(f"""SELECT CAST(count(price) + count(*) FILTER (price IS NULL AND NOT blank_price) AS BIGINT) AS non_empty,
+CAST(count(DISTINCT price) + max(CASE WHEN price IS NULL AND NOT blank_price THEN 1 ELSE 0 END) AS BIGINT) AS "distinct", CAST(count(*) FILTER (blank_price) AS BIGINT) AS empty,
 CAST(count(*) FILTER (price IS NULL AND NOT blank_price) AS BIGINT) AS non_numeric, min(price) AS least, max(price) AS greatest, {tidy('sum(price)')} AS sum, {tidy('avg(price)')} AS mean FROM ({HOLED})""")
 def profile_column(spark, sf_dir):
-    return composite.profile(holed(spark, sf_dir), "price").drop("distinct")
+    return composite.profile(holed(spark, sf_dir), "price")
 
 
 @query(f"SELECT o_custkey, o_orderkey, {tidy('sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)')} AS running FROM orders")
@@ -454,3 +432,6 @@ SELECT key, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", CAST(count(*)
 def stream_sessions(spark, sf_dir):
     """A user's events without a gap of twelve hours are one session."""
     return windows.in_sessions(spark, f"{sf_dir}/events.parquet", "ts", "user_id", "12 hours")
+
+
+from . import sheet_queries, tool_queries  # noqa: E402, F401

@@ -8,6 +8,7 @@ import glob
 import io
 import os
 import re
+import tempfile
 import unicodedata
 import zipfile
 from dataclasses import dataclass, field
@@ -215,3 +216,12 @@ def cells(spark, path: str):
                     yield pd.DataFrame(rows[at : at + 10_000], columns=names).astype({"r": "int32", "c": "int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, CELLS)
+
+
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, one of the session's own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillgrid.folder", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="quillgrid-")
+        spark.conf.set("quillgrid.folder", where)
+    return where

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..sources.read import shared_folder
 
 
 def aggregate(stream: DataFrame, ts: str, key: str, value: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -32,8 +32,7 @@ def until_read(spark: SparkSession, path: str, query, keys: tuple[str, ...], mod
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     found = query(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-")
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")

@@ -102,3 +102,40 @@ def test_random_questions_give_the_rows_of_sql(spark):
         else:
             want = by_duck(con, f"SELECT {value} AS value, count(*) AS matched FROM t WHERE {where}")
             assert by_spark(compile.totals(r, spec).select("value", "matched")) == want, (filters, how)
+
+
+def pushed(df) -> str:
+    """The filters that the plan hands to its scan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return " ".join(x.split("]")[0] for x in plan.split("PushedFilters: [")[1:])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+@pytest.mark.parametrize(
+    "filters, want",
+    [
+        ((("o_totalprice", "gt", "200 thousand"),), "GreaterThanOrEqual(o_totalprice"),
+        ((("o_totalprice", "eq", "1000"),), "LessThanOrEqual(o_totalprice"),
+        ((("o_totalprice", "gte", "1000"), ("o_totalprice", "lte", "50k")), "LessThanOrEqual(o_totalprice"),
+        ((("o_totalprice", "eq", None, ("1000", "2000")),), "Or(And(GreaterThanOrEqual(o_totalprice"),
+        ((("o_orderdate", "eq", "January 2, 1996"),), "EqualTo(o_orderdate"),
+        ((("o_orderdate", "eq", "Aug 1996"),), "LessThan(o_orderdate"),
+        ((("o_orderdate", "gt", "August 1998"),), "GreaterThanOrEqual(o_orderdate"),
+        ((("o_custkey", "eq", "42"),), "o_custkey"),
+        ((("o_orderstatus", "eq", "f"),), "IsNotNull(o_orderstatus"),
+        ((("o_orderstatus", "eq", None, ("f", "o")),), "IsNotNull(o_orderstatus"),
+        ((("o_orderdate", "is_empty"),), "IsNull(o_orderdate"),
+    ],
+)
+def test_filters_reach_the_scan(spark, filters, want):
+    region = library.orders(spark, DATA)
+    assert want in pushed(compile.matching(region, library.spec(*filters)).select("_row")), filters
+
+
+def test_typed_identifiers_are_met_as_numbers(spark):
+    df = spark.createDataFrame([(1, 9007199254740993), (2, 9007199254740992), (3, None), (4, 42)], "k long, account_id long")
+    region = region_of(df, "t", order_by="k")
+    assert region.columns[1].identifier == "code" and region.columns[1].typed == "integer"
+    keys = lambda *f: [r._row for r in compile.matching(region, QuerySpec((Filter("account_id", *f),))).orderBy("_row").collect()]
+    assert keys("eq", "9007199254740993") == [1] and keys("neq", "42") == [1, 2] and keys("is_empty") == [3]
+    assert keys("eq", None, ("42", "9007199254740992")) == [2, 4] and keys("eq", "042") == []

@@ -144,7 +144,7 @@ def test_than_that_and_pending(spark, tools):
 
 
 def test_speech_and_names():
-    assert speech.number(999950) == "1 million" and speech.number(12345) == "12.3 thousand" and speech.number(-0.0123) == "minus 0.012" and speech.number(1234.5) == "1,234.5"
+    assert speech.number(999950) == "1 million" and speech.number(12345) == "12.3 thousand" and speech.number(-0.0123) == "minus 0.012" and speech.number(1234.5) == "1234.5"
     assert speech.amount(24900) == "24.9 thousand" and speech.amount(20550) == "about 20.6 thousand"
     assert names.letters(27) == "AB" and names.merge_range("B2:D5") == (1, 1, 4, 3) and names.slug("Bảng lương đ.csv") == "bang-luong-d"
     assert names.spoken("totalRevenue_USD") == "total revenue USD" and names.clean("a​b\n c") == "a b c"
@@ -195,3 +195,46 @@ def test_messages(tools):
     with urllib.request.urlopen(request, timeout=20) as answer:
         assert json.loads(answer.read()) == {"jsonrpc": "2.0", "id": 7, "result": {}}
     s.shutdown()
+
+
+def test_conditions_of_large_and_registered_tables(spark):
+    """Values are looked up however many rows there are; what is not found is said, not left out."""
+    rows = [(i, f"Item {i}", ("Building", "Máy móc", "Auto parts")[i % 3], float(i)) for i in range(3000)]
+    c = Catalog()
+    c.register("stock", spark.createDataFrame(rows, "k long, item string, sort string, price double"), order_by="k", label="item")
+    router = Router(Tools(spark, c))
+    assert router.ask("how many rows where sort is building")["result"] == 1000
+    assert router.ask("total price for auto parts")["result"] == sum(r[3] for r in rows if r[2] == "Auto parts")
+    assert router.ask("average price where sort is Máy móc")["matched_rows"] == 1000
+    assert router.ask("price of item 77")["result"] == 77.0
+    x = router.ask("average price where sort is zanzibar")
+    assert x.get("error") and "zanzibar" in x["spoken"]
+    assert router.ask("average price")["matched_rows"] == 3000
+
+
+def test_read_again_keeps_marks_and_order(spark, tmp_path):
+    """Another count of heading rows changes no figure and no date of a file with decimal commas and days first."""
+    text = "Item;Price;Closed\na;2.500;05/04/2026\nb;1.250.000;23/04/2026\nc;3,5;01/02/2026\n"
+    region = ingest.build(spark, read.read_bytes(text.encode(), "x.csv"), "x.csv")[0][0]
+    again = ingest.reread(spark, region, 1)
+    row = lambda r: r.df.orderBy("_row").select("n1", "d2").collect()
+    assert row(region) == row(again) and row(region)[0].n1 == 2500 and row(region)[0].d2.month == 4
+    assert again.revision == 1 and again.columns[2].date_order == "dmy"
+    without = ingest.reread(spark, region, 0)
+    assert without.df.orderBy("_row").select("c1").collect()[1].c1 in ("2500", "2.500") and without.row_count == 4
+
+
+def test_a_broken_save_leaves_the_one_before(spark, tmp_path):
+    c, where = Catalog(), str(tmp_path / "index")
+    c.add("sales", ingest.build(spark, read.read_bytes(SALES.encode(), "sales.csv"), "sales.csv")[0])
+    ingest.save(c, where)
+    first = ingest.load(spark, where)
+    broken = Catalog()
+    broken.add("sales", ingest.build(spark, read.read_bytes(BUDGET.encode(), "budget.csv"), "budget.csv")[0])
+    broken.add("bad", [broken.tables["sales"][0].__class__("b", "B", [], None)])
+    with pytest.raises(AttributeError):
+        ingest.save(broken, where)
+    assert [x.name for x in ingest.load(spark, where).tables["sales"][0].columns] == [x.name for x in first.tables["sales"][0].columns]
+    broken.tables.pop("bad")
+    ingest.save(broken, where)
+    assert ingest.load(spark, where).tables["sales"][0].columns[2].name == "Amount" and first.tables["sales"][0].df.count() == 5
