@@ -98,6 +98,16 @@ def singular(word: str) -> str:
     return word
 
 
+def similarity(a: str, b: str) -> float:
+    """1 less the edits that make one word the other, as a share of the longer one."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
 # Words of a heading that say what kind of figures stand beneath.
 AVERAGES = frozenset("average avg mean".split())
 SHARES = frozenset("share shares portion allocation allocated split weight weighting ownership owned stake stakes".split())

@@ -63,6 +63,8 @@ class Region:
     revision: int = 0
     #: How a file's cells were read: order of dates, convention of numbers, merges of the table.
     reading: dict[str, Any] = field(default_factory=dict)
+    #: Whether _row is the same in every run; else no answer rests on the order of rows.
+    ordered: bool = True
 
 
 @dataclass(frozen=True)

@@ -36,6 +36,10 @@ MORE = r"(?:more|higher|greater|larger|bigger|later|better)"
 LESS = r"(?:less|fewer|lower|smaller|earlier|worse)"
 #: Words that say nothing of a table.
 SMALL = frozenset("what which where when whose show list tell give many much does have with from that this these those there about please them they".split())
+#: Endings of words for the people or the side of a place, with the letters to cut.
+PEOPLE = (("ese", 3), ("ern", 3), ("an", 1), ("an", 2), ("n", 1))
+#: Words alike enough to be one with a letter amiss.
+ALIKE = 0.8
 #: Words after "in", "for" or "of" that name no rows.
 NOT_VALUES = frozenset("each every total order table sheet file rows records entries figures average everything altogether than between more less over under above below year month quarter week least".split())
 WHICH = "Which column do you mean?"
@@ -80,22 +84,29 @@ class Router:
     def region(self) -> Region:
         return self.tools._region(self.table, self.sheet)
 
-    def columns_in(self, text: str) -> list:
-        """Columns named in a text, the best first: whole headings count most, then distinctive words of theirs."""
+    def columns_in(self, text: str, of=lambda c: True) -> list:
+        """Columns named in a text, the best first: whole headings count most, then distinctive words of theirs.
+
+        Words are met as they are; where no heading is, as the long form of a short heading word ("temperature" for
+        "Temp"), and then with a letter or so amiss.
+        """
         words = {stem(w) for w in re.findall(r"\w+", fold(text))}
-        scored = []
-        for c in self.region().columns:
-            own = [stem(w) for w in re.findall(r"\w+", fold(c.name))]
-            if not own:
-                continue
-            hit = sum(w in words for w in own)
-            score = (100 + 10 * len(own)) if hit == len(own) else 10 * hit
-            if score:
-                scored.append((-score, c.i, c))
-        return [c for _, _, c in sorted(scored, key=lambda x: x[:2])]
+        longer = lambda w: 4 <= len(w) <= 5 and any(x.startswith(w) and len(x) >= len(w) + 3 for x in words)
+        alike = lambda w: len(w) >= 5 and any(len(x) >= 5 and names.similarity(w, x) >= ALIKE for x in words)
+        for meets in (words.__contains__, longer, alike):
+            scored = []
+            for c in filter(of, self.region().columns):
+                own = [stem(w) for w in re.findall(r"\w+", fold(c.name))]
+                hit = sum(map(meets, own))
+                score = (100 + 10 * len(own)) if hit == len(own) else 10 * hit
+                if own and score:
+                    scored.append((-score, c.i, c))
+            if scored:
+                return [c for _, _, c in sorted(scored, key=lambda x: x[:2])]
+        return []
 
     def measure(self, text: str):
-        found = [c for c in self.columns_in(text) if c.measure]
+        found = self.columns_in(text, lambda c: c.measure)
         if found:
             return found[0]
         own = [c for c in self.region().columns if c.measure]
@@ -111,8 +122,9 @@ class Router:
         Values are looked up by the phrases of the text, so a table of any size is read once and sends back no more
         values than there are phrases.
         """
+        text = self._places(text)
         folded, out = fold(text), []
-        held = self._values(text)
+        held = self._values(text, _phrases(text.lower()) | _phrases(fold(text)))
         for c in self._worded():
             hits = []
             for v in sorted(held[c.i], key=len, reverse=True):
@@ -153,19 +165,26 @@ class Router:
         told = set(re.findall(r"\w+", fold(value)))
         return [Filter(column, "eq", value)], re.sub(r"\w+", lambda m: " " if m[0] in told else m[0], folded)
 
-    def _values(self, text: str) -> dict[int, list[str]]:
-        """Values of the columns of words that are a phrase of the text: one pass over the table."""
+    def _places(self, text: str) -> str:
+        """The text with words for a place's people or side put as the place, where a value is called that: "Asian" for Asia."""
+        bases = {w[:-cut]: w for w in self._asked(fold(text)) for end, cut in PEOPLE if w.endswith(end) and len(w) - cut >= 4}
+        found = self._values("people of " + text, set(bases)) if bases else {}
+        for v in (v for vs in found.values() for v in vs if fold(v.strip()) in bases):
+            text = re.sub(rf"(?<!\w){re.escape(bases[fold(v.strip())])}(?!\w)", v.strip().lower(), text)
+        return text
+
+    def _values(self, text: str, said: set[str]) -> dict[int, list[str]]:
+        """Values of the columns of words that are one of the phrases said: one pass over the table."""
         r, own = self.region(), self._worded()
         key = (r.id, r.revision, text)
         if key not in self.known:
             held = {c.i: list(c.profile["categories"]) for c in own if c.profile.get("categories")}
             rest = [c for c in own if c.i not in held]
-            said = {t for full in (text.lower(), fold(text)) for t in _phrases(full)}
             if rest and said:
                 value = lambda c: values.trim(F.col(f"c{c.i}"))
                 found = r.df.where("not _is_summary").agg(*(F.collect_set(F.when(F.lower(value(c)).isin(*said), value(c))).alias(f"k{c.i}") for c in rest)).first()
                 held |= {c.i: sorted(found[f"k{c.i}"]) for c in rest}
-            self.known = {key: {c.i: held.get(c.i, []) for c in own}}
+            self.known = {k: v for k, v in self.known.items() if k[:2] == key[:2] and len(self.known) < 8} | {key: {c.i: held.get(c.i, []) for c in own}}
         return self.known[key]
 
     def _repeats(self, c) -> bool:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
+
 #: Rows of a band: merges are dealt to the bands they touch, so the range join is an equality join.
 BAND = 256
 
@@ -27,5 +29,5 @@ def fill_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     spread = merges.withColumn("_band", F.explode(F.sequence(band("top"), band("bottom")))).withColumnRenamed("sheet", "_sheet")
     placed = cells.withColumn("_at", band("r"))
     met = placed.join(spread, (F.col("sheet") == F.col("_sheet")) & (F.col("_at") == F.col("_band")) & F.col("r").between(F.col("top"), F.col("bottom")) & F.col("c").between(F.col("left"), F.col("right")), "left")
-    empty = F.col("value").isNull() | (F.trim("value") == "")
+    empty = values.blank(F.col("value"))
     return met.select(*cells.columns[:-1], F.when(empty, F.coalesce("anchor", "value")).otherwise(F.col("value")).alias("value"), (empty & F.col("anchor").isNotNull()).alias("inherited"))

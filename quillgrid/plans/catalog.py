@@ -28,7 +28,7 @@ def _kind(name: str, spark_type: str) -> tuple[str, str | None]:
 def region_of(df: DataFrame, id: str, order_by: str | Expr | None = None, kinds: dict[str, str] | None = None, orders: dict[str, str] | None = None, label: str | None = None, summary: Expr | None = None, columns: list[str] | None = None) -> Region:
     """A DataFrame as a region, without reading it.
 
-    ``order_by`` gives the source order (a unique key); without it rows have no order of their own. ``kinds``
+    ``order_by`` gives the source order (a unique key); without it rows have no order, pages and addresses. ``kinds``
     overrides what the types say, so text columns may be read as numbers, currency, percent, dates or truth words.
     Typed columns stay as they are, so that filters on them reach the scan.
     """
@@ -71,7 +71,7 @@ def region_of(df: DataFrame, id: str, order_by: str | Expr | None = None, kinds:
             found.append(i)
     if not found:
         found = [c.i for c in out if c.kind == "text" and not c.identifier][:1]
-    return Region(id, names.title(id), out, df.select(*select), found[0] if found else None)
+    return Region(id, names.title(id), out, df.select(*select), found[0] if found else None, ordered=order_by is not None)
 
 
 class Catalog:

@@ -177,6 +177,9 @@ def page(spec: QuerySpec) -> tuple[int, int]:
 
 
 def listing(region: Region, spec: QuerySpec) -> DataFrame:
+    """A page of rows in the order of the source."""
+    if not region.ordered:
+        raise QueryError("The rows of this table have no order, so there are no pages of them.", "Register it with a key that orders them.")
     limit, offset = page(spec)
     return matching(region, spec).orderBy("_row").offset(offset).limit(limit)
 
@@ -290,9 +293,12 @@ def run(region: Region, spec: QuerySpec) -> QueryResult:
         return result
     c = result.column = measure(region, spec) if spec.aggregate != "count" else None
     if spec.group_by:
-        found = groups(region, spec)
-        size = found.agg(F.count("*").alias("n"), F.max("row_count").alias("most")).first()
-        result.groups = [{"key": r["key"], "value": r["value"], "row_count": r["row_count"]} for r in ordered(found, spec).collect()]
+        found = groups(region, spec).persist()  # asked twice, read once
+        try:
+            size = found.agg(F.count("*").alias("n"), F.max("row_count").alias("most")).first()
+            result.groups = [{"key": r["key"], "value": r["value"], "row_count": r["row_count"]} for r in ordered(found, spec).collect()]
+        finally:
+            found.unpersist()
         result.group_count, result.one_row_each, result.value = size["n"], size["most"] == 1, None
         end = offset + len(result.groups)
         result.next_offset = end if end < size["n"] else None
@@ -309,11 +315,12 @@ def run(region: Region, spec: QuerySpec) -> QueryResult:
         best = winners(region, spec)
         result.winner_count = best.count()
         result.winners = [_record(region, r) for r in best.orderBy("_row").limit(WINNER_CAP).collect()]
-    result.cells = [r["address"] for r in evidence(region, spec).orderBy("_row").limit(PROVENANCE_CAP).collect()]
+    if region.ordered:  # else rows have no addresses
+        result.cells = [r["address"] for r in evidence(region, spec).orderBy("_row").limit(PROVENANCE_CAP).collect()]
     result.cell_count = t["matched"] if spec.aggregate == "count" else t["numbers"]
     if c:
         result.excluded_count = t["empty_cells"] + t["odd_cells"]
-        if result.excluded_count:
+        if result.excluded_count and region.ordered:
             result.excluded = [(r["address"], r["reason"]) for r in excluded(region, spec).orderBy("_row").limit(PROVENANCE_CAP).collect()]
     return result
 

@@ -34,6 +34,7 @@ def tools(spark, sf_dir) -> Tools:
     c = Catalog()
     for table, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("events", "event_id"), ("part", "p_partkey")):
         c.register(table, read(spark, sf_dir, table), order_by=key, label={"customer": "c_name", "supplier": "s_name", "part": "p_name"}.get(table))
+    c.register("stations", read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("Station"), F.col("s_acctbal").alias("Temp")), order_by="s_suppkey", label="Station", columns=["Station", "Temp"])
     return Tools(spark, c)
 
 
@@ -147,6 +148,9 @@ _asked("follow_up", "orders", "and by o_orderstatus", f"SELECT o_orderstatus AS
 _asked("top", "customer", "top 3 c_mktsegment by c_acctbal", f"SELECT c_mktsegment AS key, {tidy('sum(c_acctbal)')} AS value FROM customer GROUP BY 1 ORDER BY 2 DESC LIMIT 3", *_GROUPS)
 _asked("than_average", "supplier", "which suppliers have s_acctbal above the average", "SELECT s_name AS name FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier) ORDER BY s_suppkey LIMIT 20", lambda x: [(r,) for r in x["rows"]], "name string")
 _asked("distinct", "events", "which event_type are there", "SELECT DISTINCT event_type AS value FROM events", lambda x: [(v,) for v in x["values"]], "value string")
+_asked("shortened_heading", "stations", "average temperature", f"SELECT {tidy('avg(s_acctbal)')} AS value, CAST(count(*) AS BIGINT) AS matched FROM supplier", *_FIGURE)
+_asked("letter_amiss", "orders", "total o_totalprize by o_orderstatus", f"SELECT o_orderstatus AS key, {tidy('sum(o_totalprice)')} AS value FROM orders GROUP BY 1", *_GROUPS)
+_asked("people_of", "customer", "average c_acctbal for machineryan", f"SELECT {tidy('avg(c_acctbal)')} AS value, CAST(count(*) AS BIGINT) AS matched FROM customer WHERE c_mktsegment = 'MACHINERY'", *_FIGURE)
 _asked("unknown_value", "customer", "average c_acctbal where c_mktsegment is zanzibar", "SELECT true AS refused", lambda x: [("zanzibar" in x["spoken"] and bool(x.get("error")),)], "refused boolean")
 
 
@@ -224,6 +228,13 @@ def names_singular(spark, sf_dir):
     return words.select("word", by_rule(names.singular)("word").alias("one"))
 
 
+@query("SELECT a.n_name AS a, b.n_name AS b, 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) AS alike FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def names_similarity(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    both = n.select(F.col("n_name").alias("a"), "n_regionkey").join(n.select(F.col("n_name").alias("b"), "n_regionkey"), "n_regionkey")
+    return both.select("a", "b", by_rule(names.similarity, "double")("a", "b").alias("alike"))
+
+
 RATES = {
     " per capita": "a per-capita figure", " average": "already an average", " (%)": "a percentage", " % of total": None, " Tỷ trọng (%)": None, " kilometres per hour": "a speed", " yards per second": "a speed",
     " hourly rate": "a rate", " births per 1,000": "a rate", " rent per month": None, " sales per region": None, " median": "already a median", " cost per units": "a per-unit figure", " allocation percentage": None, " revenue": None,

@@ -190,6 +190,8 @@ class Tools:
     def table_read_rows(self, table_id=None, sheet=None, columns=(), start_row: int = 1, cursor=None, limit: int = 5) -> dict:
         """Rows as they stand, summary rows included."""
         r = self._region(table_id, sheet)
+        if not r.ordered:
+            raise QueryError("The rows of this table have no order, so none can be read by its place.", "Register it with a key that orders them.")
         start, limit = (offset_of(cursor) or start_row) if cursor else max(1, start_row), min(10, max(1, limit))
         picked = sorted({c.i for n in columns for c in (cat.matches(r, n) or [cat.resolve(r, n)])}) or [c.i for c in r.columns]
         found = r.df.where(F.col("_row") >= start - 1).orderBy("_row").limit(limit + 1).select("_row", *(f"c{i}" for i in picked)).collect()
