@@ -6,7 +6,8 @@ a radius of 4), the balls are dealt out by value, and fingerprints that meet in
 
 The balls are dealt by their leading ``prefix_bits`` bits: a fingerprint is sent once to every prefix that
 some of its variants have, with the number of bits it may still change, and the variants themselves are
-formed on arrival (79 short rows instead of 2081 at 12 bits). Within a prefix all fingerprints that share a
+formed on arrival (79 short rows instead of 2081 at 12 bits). Prefixes are counted, and one that too many
+fingerprints share is dealt out again by further bits. Within a prefix all fingerprints that share a
 variant are linked to the least of them, never pair by pair; the links are verified bit for bit, and each
 prefix returns a star for each of its clusters. Alternating large-star and small-star steps, written to
 the shared folder, make the stars into components. Nothing that grows with the input reaches the driver.
@@ -31,6 +32,8 @@ RADIUS = 4
 SEED = 42
 #: A prefix with more variants than this is split by further bits while it is worked on.
 MAX_VARIANTS = 1_000_000
+#: A prefix that more fingerprints are dealt to is dealt out by STEP further bits, to tasks of its own.
+MAX_DEALT, STEP = 500_000, 8
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
@@ -79,6 +82,17 @@ def _deal(batches, prefix_bits: int, half: int):
             )
 
 
+def _deal_on(batches, bits: int, half: int):
+    """The rows of prefixes of ``bits`` bits, dealt by STEP bits more: once to each value that some variant has there."""
+    every = masks(STEP, half)
+    for batch in batches:
+        prefix, fp, flips = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        part = (fp.view(np.uint64) >> np.uint64(64 - bits - STEP)).astype(np.int64) & ((1 << STEP) - 1)
+        for mask, weight in every:
+            own = flips >= weight
+            yield pa.record_batch([pa.array((prefix[own] << STEP) | (part[own] ^ mask)), pa.array(fp[own]), pa.array(flips[own] - np.int8(weight))], names=["prefix", "fp", "flips"])
+
+
 def _meetings(fp: np.ndarray, flips: np.ndarray, bits: int, radius: int):
     """(least, other) index pairs of fingerprints that meet in a variant of their last ``bits`` bits."""
     if len(fp) < 2:
@@ -145,11 +159,26 @@ def _link(table: pa.Table, prefix_bits: int, radius: int) -> pa.Table:
     return pa.table({"a": pa.array(fp[other].view(np.int64)), "b": pa.array(fp[root[other]].view(np.int64))})
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, prefix_bits: int = 12) -> DataFrame:
+def _linking(bits: int, radius: int):
+    return lambda table: _link(table, bits, radius)
+
+
+def links(fingerprints: DataFrame, radius: int = RADIUS, prefix_bits: int = 12, most: int = MAX_DEALT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp): enough to connect all within the radius."""
-    half = radius // 2
+    half, bits, out = radius // 2, prefix_bits, None
     dealt = fingerprints.select("fp").mapInArrow(lambda batches: _deal(batches, prefix_bits, half), "prefix long, fp long, flips byte")
-    return dealt.groupBy("prefix").applyInArrow(lambda t: _link(t, prefix_bits, radius), "a long, b long").distinct()
+    while True:
+        hot = None
+        if bits + STEP <= 48:  # fingerprints are distinct: what shares more bits than that is few
+            hot = written(dealt.groupBy("prefix").count().where(F.col("count") > most).select("prefix"), "hot")
+            hot = None if hot.isEmpty() else hot
+        rest = dealt if hot is None else dealt.join(hot, "prefix", "left_anti")
+        found = rest.groupBy("prefix").applyInArrow(_linking(bits, radius), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if hot is None:
+            return out.distinct()
+        dealt = written(dealt.join(hot, "prefix", "left_semi").mapInArrow(lambda batches, bits=bits: _deal_on(batches, bits, half), "prefix long, fp long, flips byte"), "dealt")
+        bits += STEP
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,9 +200,11 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, radius: int = RADIUS, carry: list[str] | None = None, root: bool = False) -> DataFrame:
     """docs with ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least id reachable).
 
+    root: with ``root`` too, the least fingerprint of the component, which tells components apart whose ids repeat.
+
     keep_text: carry all columns of docs, the text included; otherwise the id and the columns of ``carry``. Columns of docs named
     fingerprint or component_id are replaced. Null or blank texts have fingerprint 0 and are linked like any
     other; null ids never become a component's id unless it has no other. Repeated rows stay.
@@ -188,26 +219,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(own, radius, bits))
     nodes = roots.union(roots.select("root", "root").distinct()).join(own, F.col("node") == F.col("fp")).select("node", "root", "least")
     whole = nodes.groupBy("root").agg(F.min("least").alias("whole"))
-    nodes = nodes.join(whole, "root").select(F.col("node").alias("fp"), "whole")
-    label = own.join(nodes, "fp", "left").select(F.col("fp").alias(of), F.coalesce("whole", "least").alias("component_id"))
+    nodes = nodes.join(whole, "root").select(F.col("node").alias("fp"), "whole", "root")
+    label = own.join(nodes, "fp", "left").select(F.col("fp").alias(of), F.coalesce("whole", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     label = written(label, "labels")  # a table, so that the join below may split a fingerprint of many rows
     return rows.join(label, col(fp) == col(of), "left").select(
-        *map(col, keep), F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id"
+        *map(col, keep), F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id", *(["root"] if root else [])
     )
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component of near-duplicates, with the columns of docs: the row of the least id.
 
-    Rows that share this id keep one row; without any id in a component each fingerprint keeps one. Whole rows are
+    Rows that share this id keep one row, and so does a component without any id. Whole rows are
     met by a digest of id and text only once the rows that stay are known, so no text is stored or grouped.
     """
     row, of, whose, rank = (fresh(docs, x) for x in ("row", "of", "whose", "rank"))
     digest = F.xxhash64(col(id_col), col(text_col))
     narrow = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), digest.alias("row"))
-    found = near_duplicates(narrow, "id", "text", False, radius, carry=["row"])
+    found = near_duplicates(narrow, "id", "text", False, radius, carry=["row"], root=True)
     found = found.where((F.col("id") == F.col("component_id")) | F.col("component_id").isNull())
-    by = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy("row")
+    by = Window.partitionBy("root").orderBy("row")
     first = found.withColumn("rank", F.row_number().over(by)).where("rank = 1").select(F.col("row").alias(of), F.col("id").alias(whose))
     first = written(first, "representatives")
     met = docs.withColumn(row, digest).join(first, (col(row) == col(of)) & col(id_col).eqNullSafe(col(whose)))
@@ -215,21 +246,27 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return met.withColumn(rank, F.row_number().over(once)).where(col(rank) == 1).select(*map(col, docs.columns))
 
 
+def brute_links(fps: list[int]) -> dict[int, int]:
+    """Of each fingerprint the least that links reach, for tests: every pair is compared."""
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= RADIUS:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {f: find(f) for f in fps}
+
+
 def brute_force(rows: list[tuple]) -> pd.DataFrame:
     """Of (id, text) rows, for tests: every pair of fingerprints is compared."""
     fps = [fingerprint(None if t is None else t.encode()) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= RADIUS:
-            root[find(i)] = find(j)
+    reach = brute_links(sorted(set(fps)))
     least: dict = {}
-    for i, (doc, _) in enumerate(rows):
-        r = find(i)
-        least[r] = doc if r not in least else min(least[r], doc)
-    return pd.DataFrame({"doc_id": [d for d, _ in rows], "fingerprint": [f"{f:016x}" for f in fps], "component_id": [least[find(i)] for i in range(len(rows))]})
+    for f, (doc, _) in zip(fps, rows, strict=True):
+        least[reach[f]] = min(least.get(reach[f], doc), doc)
+    return pd.DataFrame({"doc_id": [d for d, _ in rows], "fingerprint": [f"{f:016x}" for f in fps], "component_id": [least[reach[f]] for f in fps]})
