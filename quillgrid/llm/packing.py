@@ -52,17 +52,35 @@ def whole_letters(word: bytes) -> bool:
     return text.isalpha() and max(text) < LATIN and text == text.lower()
 
 
+#: Texts by which it is told whether a tokenizer's ids are those of its words one by one.
+PROBES = (
+    "Plain words, Mixed CASE and tails... of marks!?", "  two  spaces\ttab\nline\r\n end ", "don't we'll O'Neil's x' 'y", "3.14 1,000 0042 2026-07-04", "naïve Ünïcode é e\u0301 ﬁ ß ẞ İ", "日本語 テスト。 中文，标点", "🙂 a🙂b \u200b x\u00a0y",
+    "a_b-c/d\\e {f} [g] <h> <|i|> #j $k %l &m |n", "antidisestablishmentarianism" * 3, "\x02 \x00 \x1c", "", " ",
+)
+
+
 class WordIds:
-    """Ids of white-space separated words by a tokenizer that drops white space, kept by word."""
+    """Ids of texts, kept by white-space separated word where the tokenizer takes words one by one.
+
+    That is tried on PROBES when the file is read; with any other tokenizer every text is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        # the same model for words of small letters, which its normaliser and its pattern leave as they are
-        self.merges = Merges(path)
-        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        try:
+            # the same model for words of small letters, which its normaliser and its pattern leave as they are
+            self.merges = Merges(path)
+            (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+            self.by_word = True
+            self.by_word = all(self.encode_all([t.encode()]) == [self._whole(t)] for t in PROBES)
+        except (ValueError, KeyError):  # another kind of model, or one whose words run together
+            self.by_word = False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], dtype="<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> None:
         """Words become known by the tokenizer: many in one call, a mark between them.
@@ -122,6 +140,8 @@ class WordIds:
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """Each document's ids as little-endian 32-bit numbers, then END."""
+        if not self.by_word:
+            return [self._whole((t or b"").decode()) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.older, self.known = self.known, {}
         known, split = self.known, [(t or b"").split() for t in texts]
