@@ -131,6 +131,35 @@ def test_representatives(docs, clashing, none):
     assert simhash.representatives(none).count() == 0
 
 
+def test_simhash_hot_prefixes(spark):
+    """Links are the same when prefixes are dealt out again by further bits."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) >> 20 for _ in range(40)]  # one prefix holds all
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for b in base for _ in range(8)})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").repartition(3)
+
+    def classes(most):
+        root = {int(np.uint64(f).view(np.int64)): f for f in fps}
+        pairs = [(r.a, r.b) for r in simhash.links(df, most=most).collect()]
+        while any(root[a] != root[b] for a, b in pairs):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = simhash.brute_links(fps)
+    assert classes(10**9) == classes(20) == {int(np.uint64(f).view(np.int64)): r for f, r in want.items()}
+
+
+def test_representatives_of_repeated_and_missing_ids(spark):
+    """Unlike texts under one id stay both; near copies without ids keep one."""
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 300) for _ in range(3))
+    near = next(t for t in (c.replace(w, "other", 1) for w in c.split()) if 1 <= (simhash.fingerprint(t.encode()) ^ simhash.fingerprint(c.encode())).bit_count() <= 4)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (None, c), (None, near)], "doc_id long, text string")
+    kept = sorted((r.doc_id is None, r.text in (a,), r.text in (b,), r.text in (c, near)) for r in simhash.representatives(df).collect())
+    assert kept == [(False, False, True, False), (False, True, False, False), (True, False, False, True)]
+
+
 # ---- language ----
 
 
@@ -378,25 +407,21 @@ def test_quality_guarantee(spark):
     assert sum(not r.quality.kept for r in got if r.doc_id % 5 == 0) > 700 and sum(not r.quality.kept for r in got if r.doc_id % 5) <= 0.02 * 3200
 
 
-def test_quality_kept_brute_force(spark, tmp_path):
-    """The verdict on every row against the path and the binomial tests worked out here, three languages, one small."""
-    rng = random.Random(8)
-    made, lab = [], []
-    for i in range(3300):
-        bad = rng.random() < 0.25
-        words = [rng.choice(WORDS) + str(rng.randrange(99)) + ("#|" if bad and rng.random() < 0.3 else "" if rng.random() < 0.998 else "$") for _ in range(rng.randrange(12, 40))]
-        made.append((i, (" SHOUT" * 9 if bad and i % 3 else "") + " ".join(words), ("en", "fr", None)[min(2, i % 40 // 18)], "s", 0))
-        lab.append((i, int(not bad) if i % 11 else None))
-    df = spark.createDataFrame(made, SCHEMA).repartition(3)
-    got = {r.doc_id: r.quality for r in quality.judged(df, spark.createDataFrame(lab, "doc_id long, quality int")).collect()}
-    draws = {r.i: r.h / 2.0**64 + 0.5 for r in spark.range(3300).selectExpr("id as i", f"xxhash64({quality.SEED}, cast(id as string)) h").collect()}
+def draws_of(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "i long")
+    return {r.i: r.h / 2.0**64 + 0.5 for r in df.selectExpr("i", f"xxhash64({quality.SEED}, cast(i as string)) h").collect()}
+
+
+def verdicts(fields, good, lang, draws):
+    """(path, first step that rejects each id, step used for each language), by the rules of the docstring."""
+    from math import comb
 
     def scores(q):
-        n, c = max(q.n_words, 1), max(q.word_chars, 1)
-        return [q.n_symbols / c, q.n_upper / c, q.n_marks / c, q.n_dup_lines / max(q.n_lines, 1), q.n_repeat_words / n, min(q.word_chars / n / 32, 1), 1 - min(q.word_chars / n / 16, 1)]
+        n, c = max(q["n_words"], 1), max(q["word_chars"], 1)
+        return [q["n_symbols"] / c, q["n_upper"] / c, q["n_marks"] / c, q["n_dup_lines"] / max(q["n_lines"], 1), q["n_repeat_words"] / n, min(q["word_chars"] / n / 32, 1), 1 - min(q["word_chars"] / n / 16, 1)]
 
-    bins = {i: [int(np.floor(np.sqrt(x) * 64)) for x in scores(q)] for i, q in got.items()}
-    good = {i: g for i, g in lab if g is not None}
+    bins = {i: [int(np.floor(np.sqrt(x) * 64)) for x in scores(q)] for i, q in fields.items()}
+    good = {i: g for i, g in good.items() if i in fields and fields[i]["n_words"]}
     tune, cuts, steps, lost = [i for i in good if draws[i] < 0.2], [99] * 7, [], 0
     while True:
         live = [i for i in tune if all(b < c for b, c in zip(bins[i], cuts, strict=True))]
@@ -411,24 +436,47 @@ def test_quality_kept_brute_force(spark, tmp_path):
         cuts[-r], lost = b, lost + fine
         steps.append((-r, b))
     first = {i: next((k for k, (r, b) in enumerate(steps, 1) if x[r] >= b), len(steps) + 1) for i, x in bins.items()}
-    lang = {i: k or "" for i, _, k, *_ in made}
     held = [i for i in good if draws[i] >= 0.2]
-    from math import comb
-
+    own = {k: [i for i in held if lang[i] == k] for k in {lang[i] for i in held}}
+    needed = np.ceil(np.log(0.05 / len(own)) / np.log(0.98)) if own else 0
+    few = [k for k in own if sum(good[i] for i in own[k]) < needed]
+    strata = [[k] for k in own if k not in few] + ([few] if few else [])
     used = {}
-    for k in ("en", "fr", ""):
-        fine, bad = ([first[i] for i in held if lang[i] == k and good[i] == g] for g in (1, 0))
-        best, used[k] = 0, 0
+    for names in strata:
+        ids = sum((own[k] for k in names), [])
+        fine, bad = ([first[i] for i in ids if good[i] == g] for g in (1, 0))
+        best, at = 0, 0
         for step in range(1, len(steps) + 1):
             x = sum(s <= step for s in fine)
-            if sum(comb(len(fine), j) * 0.02**j * 0.98 ** (len(fine) - j) for j in range(x + 1)) > 0.05 / 3:
+            if sum(comb(len(fine), j) * 0.02**j * 0.98 ** (len(fine) - j) for j in range(x + 1)) > 0.05 / len(strata):
                 break
-            gain = sum(s <= step for s in bad) / len(bad) - 10 * x / len(fine)
+            gain = sum(s <= step for s in bad) / max(1, len(bad)) - 10 * x / max(1, len(fine))
             if gain > best:
-                best, used[k] = gain, step
+                best, at = gain, step
+        used |= dict.fromkeys(names, at)
+    return steps, first, used
+
+
+def made_for_quality(rng, n):
+    made, good = [], {}
+    for i in range(n):
+        bad = rng.random() < 0.25
+        words = [rng.choice(WORDS) + str(rng.randrange(99)) + ("#|" if bad and rng.random() < 0.3 else "" if rng.random() < 0.998 else "$") for _ in range(rng.randrange(12, 40))]
+        made.append((i, (" SHOUT" * 9 if bad and i % 3 else "") + " ".join(words), ("en", "fr", None)[min(2, i % 40 // 18)], f"s{i % 3}", 0))
+        good[i] = int(not bad)
+    return made, good
+
+
+def test_quality_kept_brute_force(spark):
+    """The verdict on every row against the path and the binomial tests worked out here, three languages, one small."""
+    made, good = made_for_quality(random.Random(8), 3300)
+    lab = [(i, g if i % 11 else None) for i, g in good.items()]
+    df = spark.createDataFrame(made, SCHEMA).repartition(3)
+    got = {r.doc_id: r.quality for r in quality.judged(df, spark.createDataFrame(lab, "doc_id long, quality int")).collect()}
+    steps, first, used = verdicts({i: q.asDict() for i, q in got.items()}, {i: g for i, g in lab if g is not None}, {i: k or "" for i, _, k, *_ in made}, draws_of(spark, good))
     assert used["en"] > 0 and used["fr"] > 0 and used[""] == 0
-    for i, q in got.items():
-        gone = first[i] <= used[lang[i]]
+    for i, _, k, *_ in made:
+        gone, q = first[i] <= used[k or ""], got[i]
         assert q.kept == (not q.base_failed and not gone) and q.rule == (list(quality.RULES)[steps[first[i] - 1][0]] if gone else None)
     assert sum(not got[i].kept for i in good if not good[i]) > 400
 
@@ -560,15 +608,8 @@ def test_pii_terms(spark, docs, clashing, none):
     assert pii.found(docs).count() == len(rows())
 
 
-def test_pii_terms_anywhere(spark):
-    """A told term goes wherever it stands in a text with the entity, whatever its length; brute force over the corpus."""
-    gap = " the usual words of a report are here and there" * 3
-    filler = [f"{gap} {i} at on Bob ask or" for i in range(200)]
-    told = [f"Kim, 李明 {i}{gap} ask kim@agent.org or +1 (499) 555-6503 {i}\n{gap} Kim\tZANZIBAR 🙂 Ng" for i in range(4)]
-    other = ["Bob wrote to bob@x.org", "Ng alone, without an address"]
-    all_texts = filler + told + other + [told[0]]
-    df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in pii.found(df).collect()}
+def brute_terms(all_texts):
+    """Of each text (start, kind, end) of the terms that reveal one of its entities."""
 
     def terms(t):
         for a, _, z in plain_spans(t):
@@ -589,10 +630,37 @@ def test_pii_terms_anywhere(spark):
                 within.setdefault((w, e), set()).add(t)
     total = sum(n_t.values())
     share = {(w, e): 1 - np.log(n_t[w] / n) / np.log(max(total / n_e[e], np.e)) for (w, e), n in n_te.items() if len(within[w, e]) > 1}
-    for i, t in enumerate(all_texts):
+    out = []
+    for t in all_texts:
         held = {t[a:z] for a, _, z in plain_spans(t)}
         best = [(a, max((share.get((w, e), 0) for e in held), default=0), z) for w, a, z in terms(t)]
-        assert [(s.start, s.kind, s.end) for s in got[i].more] == [(a, 5 if x >= 0.99 else 4, z) for a, x, z in best if x >= 0.9], t
+        out.append([(a, 5 if x >= 0.99 else 4, z) for a, x, z in best if x >= 0.9])
+    return out
+
+
+def brute_masked(t, more):
+    out, at = "", 0
+    for a, kind, z in sorted(plain_spans(t) + more):
+        if a >= at:
+            said = t[a:z]
+            general = "[CODE]" if re.search(r"\d", said) else "[NAME]" if said[0].isupper() else "[TERM]"
+            out += t[at:a] + ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", general, "")[kind]
+        at = max(at, z)
+    return out + t[at:]
+
+
+def test_pii_terms_anywhere(spark):
+    """A told term goes wherever it stands in a text with the entity, whatever its length; brute force over the corpus."""
+    gap = " the usual words of a report are here and there" * 3
+    filler = [f"{gap} {i} at on Bob ask or" for i in range(200)]
+    told = [f"Kim, 李明 {i}{gap} ask kim@agent.org or +1 (499) 555-6503 {i}\n{gap} Kim\tZANZIBAR 🙂 Ng" for i in range(4)]
+    other = ["Bob wrote to bob@x.org", "Ng alone, without an address"]
+    all_texts = filler + told + other + [told[0]]
+    df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.found(df).collect()}
+
+    for i, more in enumerate(brute_terms(all_texts)):
+        assert [(s.start, s.kind, s.end) for s in got[i].more] == more, all_texts[i]
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert not re.search("Kim|李明|ZANZIBAR", clean[200] + clean[206]) and "usual words" in clean[200] and clean[205] == other[1]
 
@@ -643,6 +711,16 @@ def test_merges_are_the_tokenizers():
     assert ids == [np.array([*real.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
 
 
+def test_other_tokenizers_are_asked_for_whole_texts():
+    from tokenizers import Tokenizer
+
+    other = queries.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    words, real = packing.WordIds(other), Tokenizer.from_file(other)
+    assert not words.by_word and packing.WordIds(queries.tokenizer_path()).by_word
+    for t in (*packing.PROBES, "some  more words"):
+        assert words.encode_all([t.encode()]) == [np.array([*real.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()]
+
+
 def test_plan_fills_exactly():
     rng = random.Random(2)
     counts = {}
@@ -718,19 +796,132 @@ def test_pipeline_stages(spark, docs, labels, none, tmp_path):
         assert got == collected(held.drop("sequence_id", "offset")) and bool(got) == (where == "a")
 
 
-def test_pipeline_brute_force(spark, docs, labels, tmp_path):
-    """The kept documents, worked out in Python, up to the mix."""
+def test_pipeline_brute_force(spark, tmp_path):
+    """run()'s rows against all five stages worked out in Python, with labels enough for cutoffs, copies and entities."""
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
-    d = str(tmp_path)
-    labels.write.parquet(f"{d}/labels.parquet")
-    first = {(r.doc_id, r.text) for r in p.quality_rules(spark, docs, d).collect()}
-    want = {(i, t) for i, t, *_ in rows() if (m := quality.measure((t or "").encode()))[0] >= 10 and 100 * m[4] <= 20 * m[0]}
-    assert first == want
-    kept = p.quality_rules(spark, docs, d)
-    ids = sorted(r.doc_id for r in p.simhash_near_dedup(spark, kept, d).collect())
-    brute = simhash.brute_force([(i, t) for i, t, *_ in rows() if (i, t) in want and i is not None])
-    assert ids == sorted(set(brute.component_id))
+    rng = random.Random(14)
+    made, good = made_for_quality(rng, 1500)
+    told = [f"please ask Zanzibar or Kim99 at secret@agent.org about the usual words " + " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(30)) for k in range(30)]
+    made += [(1500 + k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(told)]
+    made += [(1600 + k, made[30 * k + 7][1].replace(" ", "  ", k % 2), "en", "s0", 0) for k in range(40)] + [(1700, None, None, None, None), (1701, "few words", "en", None, 9)]
+    spark.createDataFrame(made, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, g, 0) for i, g in good.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    fields = {i: dict(zip(quality.FIELDS, quality.measure((t or "").encode()), strict=True)) for i, t, *_ in made}
+    lang = {i: k or "" for i, _, k, *_ in made}
+    _, first, used = verdicts(fields, good, lang, draws_of(spark, lang))
+    passes = lambda i, q: q["n_words"] >= 10 and 100 * q["n_repeat_words"] <= 20 * q["n_words"] and first[i] > used.get(lang[i], used.get("en", 0))
+    docs = [r for r in made if passes(r[0], fields[r[0]])]
+    assert any(used.values()) and len(docs) < len(made) - 100
+
+    least = simhash.brute_force([(i, t) for i, t, *_ in docs]).component_id
+    docs = [r for r, c in zip(docs, least, strict=True) if r[0] == c]
+    more = brute_terms([t for _, t, *_ in docs])
+    docs = [(i, brute_masked(t, m), s) for (i, t, _, s, _), m in zip(docs, more, strict=True)]
+    assert sum("[EMAIL]" in t and "Zanzibar" not in t for _, t, _ in docs) == 30
+
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in docs}
+    sizes = {}
+    for i, _, s in docs:
+        sizes[s] = sizes.get(s, 0) + size[i]
+    target = filled(sizes, {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))})
+    taken = []
+    for source in sizes:
+        draw = {i: int(hashlib.md5(f"{mixing.SEED}:{i}:{t}".encode()).hexdigest()[:15], 16) for i, t, s in docs if s == source}
+        whole = int(target[source] // sizes[source])
+        rest, words = target[source] - whole * sizes[source], {}
+        for i, d in draw.items():
+            words[d % mixing.BUCKETS] = words.get(d % mixing.BUCKETS, 0) + size[i]
+        last, before = mixing.BUCKETS, 0
+        for k in sorted(words):
+            if before + words[k] > rest:
+                last = k
+                break
+            before += words[k]
+        for i in sorted(draw, key=lambda i: (draw[i] % mixing.BUCKETS, draw[i], -size[i])):
+            k = draw[i] % mixing.BUCKETS
+            once = k < last or k == last and before + size[i] / 2 <= rest
+            before += size[i] if k == last else 0
+            taken += [i] * (whole + once)
+    tokens, text, want = Tokenizer.from_file(queries.tokenizer_path()), {i: t for i, t, _ in docs}, []
+    for i in taken:
+        ids = [*tokens.encode(text[i], add_special_tokens=False).ids, 0]
+        want += [(i, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for x, n in places if x < o) for places in by.values() for o, _ in places) and max(sum(n for _, n in x) for x in by.values()) <= 2048
+    assert len(by) <= 1.05 * sum(r.length for r in got) / 2048 + 1
+
+
+ORACLE_TABLES = {"documents": SCHEMA, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of small tables with odd texts and columns whose names clash with those of the operators."""
+    where = str(tmp_path_factory.mktemp("small"))
+    made = [r for r in rows()[:-3]]
+    made += [(90 + k, t, "en", "s1", 1) for k, t in enumerate(x for x in PII if x is not None and len(x) < 5000)]
+    made += [(200 + k, f"ask Zanzibar at secret@agent.org about the usual words {k} " + sentence(random.Random(k), 20), "fr", None, 1) for k in range(4)]
+    docs = spark.createDataFrame(made, SCHEMA).select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+    docs.repartition(3).write.parquet(f"{where}/documents.parquet")
+    html = ["<p>one</p>", "<p>two</p>", "<p>one</p>", None, "", "é 你好", "<p>one</p>", "x" * 100_000]
+    spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], ORACLE_TABLES["pages"]).withColumn("digest", F.lit(1)).withColumn("original", F.lit(2)).write.parquet(f"{where}/pages.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], ORACLE_TABLES["labels"]).write.parquet(f"{where}/labels.parquet")
+    return where
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(spark, small, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ORACLE_TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet/*.parquet')")
+    got = queries.queries()[name](spark, small)
+    found = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    assert collected(got.select(*names)) == sorted((tuple(r) for r in found.fetchall()), key=repr)
+
+
+CONTRACT = {
+    "op1": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op2": "doc_id bigint, fingerprint string, component_id bigint",
+    "op3": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op4": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op5": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op6": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op8": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op9": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op10": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+}
+
+
+@pytest.mark.parametrize("op", sorted(CONTRACT))
+def test_query_has_the_columns_of_its_contract(spark, small, op):
+    (name,) = (k for k in queries.queries() if k.startswith(op + "_"))
+    got = queries.queries()[name](spark, small)
+    kinds = dict(got.dtypes)
+    assert {k: kinds.get(k) for k in (x.split()[0] for x in CONTRACT[op].split(", "))} == dict(x.split() for x in CONTRACT[op].split(", "))
+    assert got.count() >= spark.read.parquet(f"{small}/{'pages' if op == 'op10' else 'documents'}.parquet").count()
+    texts = {r.doc_id: (r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    if op == "op1":
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.collect())
+    if op == "op2":
+        want = simhash.brute_force(list(texts.items()))
+        assert collected(got.select("doc_id", "fingerprint", "component_id")) == sorted(map(tuple, want.values.tolist()), key=repr)
+    if op == "op3":
+        for r in got.collect():
+            raw = texts[r.doc_id].encode()
+            payload = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+            assert r.media_bytes > r.payload_bytes and re.fullmatch("[0-9a-f]{64}", r.media_sha256) and r.feature
 
 
 def test_without_the_folder(tmp_path):
