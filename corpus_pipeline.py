@@ -47,7 +47,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Fingerprints, trained cutoffs and tokenizer ids are beyond SQL; tests hold the first two stages alone against a brute-force version.
+#: Fingerprints, trained cutoffs and tokenizer ids are beyond SQL; tests hold run() against all five stages worked out in Python.
 ORACLE_SQL = None
 
 
