@@ -19,13 +19,12 @@ import heapq
 import marshal
 import tempfile
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Items that a queue, a list or a sort holds in memory.
-HELD = 1 << 20
+HELD = 1 << 18
 _BLOCK = 4096
 
 
@@ -97,11 +96,12 @@ class DiskList:
 class _Run:
     """Items of a queue in a file, by key, read a block at a time; key is that of the next item."""
 
-    def __init__(self, lists: dict[int, deque], folder: str | None):
+    def __init__(self, lists: dict[int, list], taken: tuple[int | None, int], folder: str | None):
+        """taken: of one key so many items are gone."""
         self.file, self.rows, self.key = tempfile.TemporaryFile(dir=folder), [], None
         rows = []
         for key in sorted(lists):
-            for item in lists[key]:
+            for item in lists[key][taken[1] if key == taken[0] else 0 :]:
                 rows.append((key, *item))
                 if len(rows) >= _BLOCK:
                     self.file.write(np.array(rows, dtype=np.int64).tobytes())
@@ -133,7 +133,8 @@ class DiskQueue:
 
     def __init__(self, folder: str | None = None, held: int = HELD):
         self.folder, self.held, self.n = folder, held, 0
-        self.lines: dict[int, deque] = {}
+        self.lines: dict[int, list] = {}
+        self.taken: tuple[int | None, int] = (None, 0)
         self.keys: list[int] = []
         self.runs: list[_Run] = []
         self.heads: list[tuple[int, int]] = []  # (key of its next item, run)
@@ -141,13 +142,13 @@ class DiskQueue:
     def push(self, key: int, item: tuple[int, int]) -> None:
         line = self.lines.get(key)
         if line is None:
-            self.lines[key] = deque((item,))
+            self.lines[key] = [item]
             heapq.heappush(self.keys, key)
         else:
             line.append(item)
         self.n += 1
         if self.n >= self.held:
-            run = _Run(self.lines, self.folder)
+            run = _Run(self.lines, self.taken, self.folder)
             if run.key is not None:
                 heapq.heappush(self.heads, (run.key, len(self.runs)))
                 self.runs.append(run)
@@ -172,9 +173,16 @@ class DiskQueue:
             line = self.lines.get(key)
             if line is None:
                 return
-            while line and self.lines.get(key) is line:
+            k = 0
+            while k < len(line) and self.lines.get(key) is line:
+                k += 1
                 self.n -= 1
-                yield line.popleft()
+                self.taken = (key, k)
+                yield line[k - 1]
+                if k >= _BLOCK and self.lines.get(key) is line:
+                    del line[:k]
+                    k = 0
+            self.taken = (None, 0)
             if self.lines.get(key) is line:
                 del self.lines[key]
                 heapq.heappop(self.keys)
