@@ -118,7 +118,8 @@ def _places(text: Column) -> Column:
 
 def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, groups) of the texts with an entity and (group, n_e): entities that the same texts hold are a group."""
-    held = written(rows.select("key", F.explode("base").alias("b")).groupBy(F.xxhash64("b.kind", "b.value").alias("entity"), "key").agg(F.count("*").alias("n")), "entities")
+    places = rows.select("key", F.explode("base").alias("b")).select(F.xxhash64("b.kind", "b.value").alias("entity"), "key", "b.start").distinct()  # copies once
+    held = written(places.groupBy("entity", "key").agg(F.count("*").alias("n")), "entities")
     texts = F.xxhash64(F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(1))), F.count("*"))
     entities = written(held.groupBy("entity").agg(texts.alias("group"), F.sum("n").alias("n_e")), "groups")
     of = held.select("entity", "key").join(entities.select("entity", "group"), "entity").groupBy("key").agg(F.collect_set("group").alias("groups"))
@@ -139,9 +140,8 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     rows = written(rows.drop(text), "spans")
 
     holding = rows.where(F.size("base") > 0).select(col(key).alias("key"), "base", col(blank).alias("t"))
-    texts = written(holding.groupBy("key").agg(F.max("t").alias("t"), F.max("base").alias("base"), F.count("*").alias("times")), "once")
-    of_text, n_e = _groups(texts)
-    texts = texts.join(of_text, "key").select("key", "t.*", "times", "groups")
+    of_text, n_e = _groups(holding)
+    texts = holding.groupBy("key").agg(F.max("t").alias("t"), F.count("*").alias("times")).join(of_text, "key").select("key", "t.*", "times", "groups")
     texts = written(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "texts")
     # explode_outer: plain explode evaluates its array three times, for a filter too
     each = lambda name: F.explode_outer(F.regexp_extract_all(col(name).cast("string"), F.lit(TERM), F.lit(0))).alias("term")
