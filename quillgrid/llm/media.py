@@ -151,7 +151,11 @@ def feature(about: dict) -> str:
 
 @arrow_function("struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>")
 def round_trip(texts: pa.Array) -> pa.Array:
-    """Each text stored, read back and described; a null text is empty."""
+    """Each text stored, read back and described.
+
+    A null text is empty; equal texts have equal files, repeated rows included. A text of any length is one file
+    (offsets of 64 bits where it needs them), so a row must fit a task's memory a few times.
+    """
     rows = []
     for text in utf8(texts):
         media = store(padded(text))

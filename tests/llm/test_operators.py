@@ -249,6 +249,41 @@ def test_media_round_trip(docs, none):
     assert none.select(media.round_trip(F.col("text"))).count() == 0
 
 
+def plain_boxes(data, at=0, end=None):
+    """(kind, content) of all boxes, those within moov, trak, mdia, minf and stbl included; read here by itself."""
+    end = len(data) if end is None else end
+    while at < end:
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        head = 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        assert head <= size <= end - at
+        yield kind, data[at + head : at + size]
+        if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            yield from plain_boxes(data, at + head, at + size)
+        at += size
+    assert at == end
+
+
+def test_media_by_another_reader(docs):
+    """Sample tables, offsets and samples as a reader written here finds them, against what the operator says it stored."""
+    numbers = lambda b: [int.from_bytes(b[i : i + 4], "big") for i in range(0, len(b), 4)]
+    for r in docs.select("text", media.round_trip(F.col("text")).alias("m"), media.stored(F.col("text")).alias("f")).collect():
+        data, raw = bytes(r.f), (r.text or "").encode()
+        boxes = dict(plain_boxes(data))
+        size, count = numbers(boxes[b"stsz"][4:12])
+        runs, offsets = numbers(boxes[b"stsc"][8:]), numbers(boxes[b"stco"][8:])
+        out, sample = [], 0
+        for chunk, at in enumerate(offsets, 1):
+            n = next(runs[i + 1] for i in reversed(range(0, len(runs), 3)) if runs[i] <= chunk)
+            out.append(data[at : at + n * size])
+            sample += n
+        payload = b"".join(out)
+        assert sample == count and size == 192 and payload == boxes[b"mdat"] and payload.rstrip(b" ") == raw.rstrip(b" ") and payload.startswith(raw)
+        assert numbers(boxes[b"stts"][8:]) == [count, 192] and numbers(boxes[b"stss"][8:]) == list(range(1, count + 1, 16))
+        assert (r.m.media_sha256, r.m.media_bytes, r.m.payload_bytes) == (hashlib.sha256(data).hexdigest(), len(data), len(payload))
+
+
 def test_media_foreign_and_broken(spark):
     moov_last = media.store(media.padded(b"hello" * 500))
     boxes = list(media.walk(moov_last))
