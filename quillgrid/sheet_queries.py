@@ -215,10 +215,10 @@ def split_spacer_joined(spark, sf_dir):
     return sheets.tables(laid(line(n, 0, "Name", "Units", None, "Price"), *rows)).select("file", "left", "right")
 
 
-@query("""SELECT n_name AS file, CASE WHEN n_nationkey % 2 = 0 THEN 'comma' ELSE 'dot' END AS convention, CAST(round(sum(s_acctbal), 2) AS DOUBLE) AS sum
+@query("""SELECT n_name AS file, CASE WHEN n_nationkey % 2 = 0 AND count(*) > 1 THEN 'comma' ELSE 'dot' END AS convention, CAST(round(sum(s_acctbal), 2) AS DOUBLE) AS sum
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0 GROUP BY 1, n_nationkey""")
 def numbers_by_file(spark, sf_dir):
-    """Half of the files write 1.234,50, the others 1,234.50: the file's own numbers settle which."""
+    """Half of the files write 1.234,50, the others 1,234.50: the file's own numbers settle which, if there are two."""
     s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_acctbal >= 0")
     us = F.format_number(F.col("s_acctbal").cast("decimal(18,2)"), 2)
     s = s.select(F.col("n_name").alias("file"), "s_name", F.when(F.col("n_nationkey") % 2 == 0, F.translate(us, ",.", ".,")).otherwise(us).alias("price"), F.row_number().over(Window.partitionBy("n_name").orderBy("s_suppkey")).alias("k"))
@@ -235,6 +235,24 @@ def numbers_ambiguous(spark, sf_dir):
     return sheets.tables(cells).select("file", F.element_at("columns", 2)["least"].alias("least"))
 
 
+@query("SELECT n_name AS file, CAST(CASE n_nationkey % 4 WHEN 0 THEN 45000 WHEN 1 THEN 45 WHEN 2 THEN 45000 ELSE 1.125 END AS DOUBLE) AS least FROM nation")
+def numbers_by_heading(spark, sf_dir):
+    """45.000 is forty-five thousand under a currency or a Vietnamese heading of money, else forty-five; rates keep decimals."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), (F.col("n_nationkey") % 4).alias("k"))
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("k") + 1).cast("int"))
+    cells = laid(line(n, 0, pick("Item", "Item", "Tên hàng", "Tên hàng"), pick("Price (VND)", "Weight", "Thành tiền", "Tỷ lệ phí")), *(line(n, r, f"item {r}", pick("45.000", "45.000", "45.000", "1.125")) for r in range(1, 4)))
+    return sheets.tables(cells).select("file", F.element_at("columns", 2)["least"].alias("least"))
+
+
+@query("SELECT n_name AS file, CASE WHEN n_nationkey % 3 = 2 THEN 'mdy' ELSE 'dmy' END AS date_order FROM nation")
+def dates_by_file(spark, sf_dir):
+    """Dates that could be either are day first in a file in Vietnamese or with money in euros, else month first."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), (F.col("n_nationkey") % 3).alias("k"))
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("k") + 1).cast("int"))
+    cells = laid(line(n, 0, pick("Thời gian", "Day", "Day"), "Price"), *(line(n, r, f"0{r}/04/2026", pick("1", "€5", "$5")) for r in range(1, 4)))
+    return columns(sheets.tables(cells), "letter", "date_order").where("letter = 'A'").select("file", "date_order")
+
+
 @query("SELECT n_name AS file, 'date' AS kind, CASE WHEN n_nationkey % 2 = 0 THEN 'dmy' ELSE 'mdy' END AS date_order FROM nation")
 def dates_by_column(spark, sf_dir):
     """05/04/2026 is read by the dates beside it of which only one reading is a day."""
