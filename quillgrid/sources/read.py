@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import glob
+import hashlib
 import io
 import os
 import re
@@ -177,6 +178,12 @@ def read_file(path: str) -> Read:
         return read_bytes(f.read(), path)
 
 
+def stamp(path: str) -> str:
+    """By which a file that has changed is told."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "md5").hexdigest()
+
+
 def expand(patterns: list[str]) -> tuple[list[str], list[str]]:
     """Paths of patterns with * ? [..] in any part; and the patterns that match nothing."""
     found, empty = [], []

@@ -126,7 +126,7 @@ class Tools:
             x = compile.run(r, spec)
         except QueryError as e:
             raise self._elsewhere(r, e) from None
-        answer = {"region": r.id, "revision": r.revision, "spec": spec, "parts": [self._part(r, x)]}
+        answer = {"region": r.id, "revision": r.revision, "stamp": r.reading.get("stamp"), "spec": spec, "parts": [self._part(r, x)]}
         out = {"result": x.value, "exact": None if x.value is None else speech.exact(x.value), "matched_rows": x.matched, "rows": x.rows, "winners": x.winners, "winner_count": x.winner_count, "left_out_summary_rows": x.skipped_summary, "unreadable_rows": x.unreadable}
         out |= {"groups": [g | {"exact": None if g["value"] is None else speech.exact(g["value"])} for g in x.groups], "group_count": x.group_count, "provenance": x.cells, "answer_id": self.store.keep(answer), "cursor": None if x.next_offset is None else str(x.next_offset)}
         return out | {"spoken": self._say(r, spec, x)}
@@ -184,8 +184,14 @@ class Tools:
         said = f"{p['name']} came from {speech.plural(p['total_cells'], 'cell')}, such as {speech.listed(shown)}." if shown else "No cell was behind that answer."
         if p["excluded_count"]:
             said += f" Left out: {speech.listed([f'{c} ({why})' for c, why in p['excluded'][:3]])}."
-        stale = r is None or r.revision != a["revision"]
-        return {"parts": parts, "structure_changed_since": stale, "grid": grid, "spoken": said + (" The headings were read anew since." if stale else "")}
+        changes = {
+            "table_gone": r is None,
+            "structure_changed_since": r is None or r.revision != a["revision"],
+            "file_changed_since": r is not None and r.reading.get("stamp") != a["stamp"],
+        }
+        words = {"table_gone": "That table is no longer loaded.", "structure_changed_since": "The headings were read anew since.", "file_changed_since": "The file has changed since, so the cells may hold other figures now."}
+        noted = next((words[k] for k in ("table_gone", "file_changed_since", "structure_changed_since") if changes[k]), "")
+        return {"parts": parts, **changes, "grid": grid, "spoken": f"{said} {noted}".strip()}
 
     def table_read_rows(self, table_id=None, sheet=None, columns=(), start_row: int = 1, cursor=None, limit: int = 5) -> dict:
         """Rows as they stand, summary rows included."""
@@ -214,7 +220,7 @@ class Tools:
         else:
             share = f", {speech.amount(abs(row['percent']))} percent" if row["percent"] is not None else ""
             said = f"{a.name} is {speech.amount(row['left_value'])} and {b.name} is {speech.amount(row['right_value'])}: {speech.amount(abs(row['difference']))} {row['direction']}{share}."
-        key = self.store.keep({"region": left.id, "revision": left.revision, "spec": None, "parts": [{"name": c.name, "sheet": r.sheet, "cells": [], "total_cells": 0, "header_path": list(c.path), "excluded": [], "excluded_count": 0} for r, c in ((left, a), (right, b))]})
+        key = self.store.keep({"region": left.id, "revision": left.revision, "stamp": left.reading.get("stamp"), "spec": None, "parts": [{"name": c.name, "sheet": r.sheet, "cells": [], "total_cells": 0, "header_path": list(c.path), "excluded": [], "excluded_count": 0} for r, c in ((left, a), (right, b))]})
         return {"left": side(a, row["left_value"]), "right": side(b, row["right_value"]), "difference": row["difference"], "percent_difference": row["percent"], "answer_id": key, "spoken": said}
 
     def table_bookmark(self, name: str, table_id=None, sheet=None, row: int = 1, note: str | None = None) -> dict:

@@ -238,3 +238,21 @@ def test_a_broken_save_leaves_the_one_before(spark, tmp_path):
     broken.tables.pop("bad")
     ingest.save(broken, where)
     assert ingest.load(spark, where).tables["sales"][0].columns[2].name == "Amount" and first.tables["sales"][0].df.count() == 5
+
+
+def test_explain_tells_of_changed_files(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text(SALES)
+    c = Catalog()
+    ingest.ingest(spark, [str(path)], c)
+    t = Tools(spark, c)
+    key = t.table_query("sales", aggregate="sum", aggregate_column="Revenue")["answer_id"]
+    assert not any(t.table_explain(key)[k] for k in ("table_gone", "structure_changed_since", "file_changed_since"))
+    path.write_text(SALES.replace("12400", "12500"))
+    again = Catalog()
+    ingest.ingest(spark, [str(path)], again)
+    t.catalog = again
+    x = t.table_explain(key)
+    assert x["file_changed_since"] and not x["structure_changed_since"] and "changed since" in x["spoken"]
+    t.catalog = Catalog()
+    assert t.table_explain(key)["table_gone"]
