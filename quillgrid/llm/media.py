@@ -14,7 +14,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from .common import arrow_function, utf8
 

@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import math
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
