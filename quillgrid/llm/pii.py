@@ -164,7 +164,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     more = written(more, "revealing")
     bare = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(more, col(key) == col(of), "left").select(*map(col, keep), bare.alias("base"), F.coalesce(col(added), empty).alias("more"))
+    # only rows with an entity meet their terms: no other text is shuffled
+    met = rows.where(F.size("base") > 0).join(more, col(key) == col(of), "left").select(*map(col, keep), bare.alias("base"), F.coalesce(col(added), empty).alias("more"))
+    return met.unionByName(rows.where(F.size("base") == 0).select(*map(col, keep), bare.alias("base"), empty.alias("more")))
 
 
 def joined(spans: Column) -> Column:
