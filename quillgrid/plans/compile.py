@@ -53,12 +53,21 @@ def _month_bound(region: Region, c: Column, op: str, value: str) -> tuple[str, s
     return ("gte" if op in ("gt", "gte") else "lt"), first.isoformat()
 
 
+def _slack(x: float) -> float:
+    return abs(x) * 1e-11 + 1e-300
+
+
+def _near(n: Expr, x: float) -> Expr:
+    """Whether a number may be x when it is rounded."""
+    return n.between(x - _slack(x), x + _slack(x))
+
+
 def _numeric(n: Expr, op: str, x: float) -> Expr:
     """A comparison of the rounded value; a bare range decides all but the nearest values, and a scan can use it."""
-    slack = abs(x) * 1e-11 + 1e-300
+    slack = _slack(x)
     exact = _COMPARE[op](values.tidy(n), F.lit(x))
     if op == "eq":
-        return n.between(x - slack, x + slack) & exact
+        return _near(n, x) & exact
     if op == "neq":
         return (n < x - slack) | (n > x + slack) | exact
     up = op in ("gt", "gte")
@@ -140,6 +149,8 @@ def outcome(region: Region, f: Filter, bare: bool = False) -> Expr:
     if f.values and f.op in ("eq", "neq"):
         bare = bare and f.op == "eq"
         any_of = reduce(lambda a, b: a | b, (one(region, c, "eq", v, bare) for v in many))
+        if bare and c.typed == "number" and all(values.spoken_number(v) is not None for v in many):  # apart, for the scan
+            any_of = reduce(lambda a, b: a | b, (_near(F.col(f"n{c.i}"), values.spoken_number(v)) for v in many)) & any_of
         return ~any_of if f.op == "neq" else stored.isNotNull() & any_of if bare else any_of  # a blank cell passes "not in"
     op, value = f.op, f.value if f.value else many[0]
     if c.kind == "date" and op in ("gt", "gte", "lt", "lte"):

@@ -106,6 +106,7 @@ def test_random_questions_give_the_rows_of_sql(spark):
 
 def pushed(df) -> str:
     """The filters that the plan hands to its scan."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole, not cut
     plan = df._jdf.queryExecution().executedPlan().toString()
     return " ".join(x.split("]")[0] for x in plan.split("PushedFilters: [")[1:])
 
