@@ -137,7 +137,7 @@ def summary_net(spark, sf_dir):
 def summary_told_by_figures(spark, sf_dir):
     """Labels that only sound like totals ("BUILDING Total") are records where the figures don't add up."""
     records, files = accounts(spark, sf_dir)
-    cells = laid(line(files, 0, "Account", "Balance"), line(records, F.col("k"), F.concat("c_mktsegment", F.lit(" "), F.col("k").cast("string"), F.lit(" Total")), F.col("bal") + 1000000 * F.col("k")))
+    cells = laid(line(files, 0, "Account", "Balance"), line(records, F.col("k"), F.concat("c_mktsegment", F.lit(" "), F.col("k").cast("string"), F.lit(" Total")), F.col("bal") + 1000000 * F.col("k").cast("long")))
     return sheets.tables(cells).select("file", "summary", "records")
 
 

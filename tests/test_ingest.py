@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -217,3 +218,17 @@ def test_headings_by_what_sets_them_off():
         assert found.rows == n and found.ambiguous and found.alternatives[0][0] == other and found.score < g.SURE, (text, found)
     found = headings(",2026,,2025,/,Q1,Q2,Q1,Q2/Region,Revenue,Revenue,Revenue,Revenue/North,1200,1400,1100,1000/South,900,950,800,850", [(0, 1, 0, 2), (0, 3, 0, 4)])
     assert found.rows == 3 and not found.ambiguous
+
+
+def test_groups_are_summed_up_without_going_through_them_again():
+    rng = random.Random(5)
+    for n in (1, 2, 1000):
+        xs = [rng.choice([rng.uniform(-1e6, 1e6), 1e16, -1e16, 0.1]) for _ in range(n)]
+        tally = g.Tally()
+        for x in xs:
+            tally.add(x)
+        assert (tally.n, tally.sum(), tally.least, tally.greatest) == (n, sum(xs), min(xs), max(xs))
+
+    rows = [[f"part {k} Total", k + 0.5] for k in range(500)]
+    assert g.summary_rows([*rows, ["Max", 499.5], ["Average", 250.0], ["Sum Total", 125000.0], ["Count", 501]]) == [500, 501, 503]
+    assert g.summary_rows([*rows, ["Sum Total", 125000.0], ["Last", 3.0], ["Last Total", 3.0]]) == [500, 502]
