@@ -55,9 +55,9 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 
 def same_over(spark, folder, name: str, customers: str) -> bool:
-    """Whether a query gives its SQL's rows over customers made by SQL, of two nations."""
+    """Whether a query gives its SQL's rows over customers made by SQL, of eight nations."""
     con = duckdb.connect()
-    tables = {"customer": f"SELECT c_custkey, 'Customer#' || c_custkey AS c_name, c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, 'BUILDING' AS c_mktsegment FROM ({customers})", "nation": "SELECT CAST(range AS INTEGER) AS n_nationkey, 'NATION_' || range AS n_name, 0 AS n_regionkey FROM range(2)"}
+    tables = {"customer": f"SELECT c_custkey, 'Customer#' || c_custkey AS c_name, c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, 'BUILDING' AS c_mktsegment FROM ({customers})", "nation": "SELECT CAST(range AS INTEGER) AS n_nationkey, 'NATION_' || range AS n_name, 0 AS n_regionkey FROM range(8)"}
     for table, sql in tables.items():
         con.execute(f"COPY ({sql}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
@@ -68,6 +68,17 @@ def test_figures_of_many_records_outgrow_an_integer(spark, tmp_path):
     assert same_over(spark, tmp_path, "summary_told_by_figures", "SELECT range AS c_custkey, CAST(range // 2200 AS INTEGER) AS c_nationkey, range % 97 / 100 AS c_acctbal FROM range(2300)")
 
 
+def test_a_file_is_written_by_one_task_however_partitions_are_coalesced(spark, tmp_path):
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        assert same_over(spark, tmp_path, "files_read_side_by_side", "SELECT range AS c_custkey, CAST(range % 8 AS INTEGER) AS c_nationkey, range % 97 / 100 AS c_acctbal FROM range(2000)")
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 NAMES = ["North", "south", "East", " West ", "", None]
 
 
