@@ -20,13 +20,19 @@ def _rounded(x: float, places: int) -> str:
     return str(int(r)) if r == int(r) else f"{r:.{places}f}".rstrip("0")
 
 
-def number(x: float, percent: bool = False) -> str:
-    """From 10,000 on in thousands, millions and so on with one decimal; smaller to two places; below one to two digits."""
+def _scales(most: str) -> tuple[tuple[float, str], ...]:
+    """The scales up to the one named, the greatest first."""
+    return _SCALES[[word for _, word in _SCALES].index(most) :]
+
+
+def number(x: float, percent: bool = False, most: str = "trillion") -> str:
+    """From 10,000 on in thousands, millions and so on (up to ``most``) with one decimal, carried on where a thousand of
+    the scale below would be said; smaller to two places; below one to two digits."""
     t = values.py_tidy(x)
     a = abs(t)
     if 1 <= a < 10_000 and float(_rounded(a, 2)) >= 10_000:
         a = float(_rounded(a, 2))
-    scale = next(((size, word) for size, word in _SCALES if a >= 10_000 and (a >= size or float(_rounded(a / size, 1)) >= 1 and a >= size * 0.9995)), None)
+    scale = next(((size, word) for size, word in _scales(most) if a >= 10_000 and (a >= size or float(_rounded(a / (size / 1000), 1)) >= 1000)), None)
     if scale:
         said = f"{_rounded(a / scale[0], 1)} {scale[1]}"
     else:
@@ -47,9 +53,9 @@ def number_column(c: Column) -> Column:
     return F.concat(F.when(c < 0, "minus ").otherwise(""), out.when((a >= 1) | (a == 0), two).otherwise(small))
 
 
-def amount(x: float, percent: bool = False) -> str:
+def amount(x: float, percent: bool = False, most: str = "trillion") -> str:
     """With "about" where rounding changed the figure."""
-    said = number(x, percent)
+    said = number(x, percent, most)
     bare = said.removesuffix(" percent").removeprefix("minus ")
     back = values.spoken_number(bare)
     return said if back is not None and values.py_tidy(abs(x)) == back else f"about {said}"

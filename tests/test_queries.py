@@ -79,6 +79,10 @@ def test_a_file_is_written_by_one_task_however_partitions_are_coalesced(spark, t
             spark.conf.unset(k)
 
 
+def test_amounts_are_said_in_thousands_at_any_size(spark, tmp_path):
+    assert same_over(spark, tmp_path, "say_amount", "SELECT range * 9 + 1 AS c_custkey, 0 AS c_nationkey, 0 AS c_acctbal FROM range(100000)")
+
+
 NAMES = ["North", "south", "East", " West ", "", None]
 
 

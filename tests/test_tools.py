@@ -143,6 +143,11 @@ def test_than_that_and_pending(spark, tools):
     assert r.ask("rent of matcha")["result"] == 10
 
 
+def test_a_scale_is_carried_on_only_where_a_thousand_of_it_would_be_said():
+    assert [speech.number(x) for x in (999499, 999518, 999770, 999949.9, 999950, -999949, 999.9499e6, 999.95e6)] == ["999.5 thousand", "999.5 thousand", "999.8 thousand", "999.9 thousand", "1 million", "minus 999.9 thousand", "999.9 million", "1 billion"]
+    assert speech.amount(3_700_074, most="thousand") == "about 3700.1 thousand" and speech.amount(3_700_074) == "about 3.7 million"
+
+
 def test_speech_and_names():
     assert speech.number(999950) == "1 million" and speech.number(12345) == "12.3 thousand" and speech.number(-0.0123) == "minus 0.012" and speech.number(1234.5) == "1234.5"
     assert speech.amount(24900) == "24.9 thousand" and speech.amount(20550) == "about 20.6 thousand"
