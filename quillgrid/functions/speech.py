@@ -40,12 +40,12 @@ def number(x: float, percent: bool = False, most: str = "trillion") -> str:
     return f"{'minus ' if t < 0 else ''}{said}{' percent' if percent else ''}"
 
 
-def number_column(c: Column) -> Column:
+def number_column(c: Column, most: str = "trillion") -> Column:
     """The same for a column of numbers."""
     a, out = F.abs(c), None
-    one = lambda v: F.regexp_replace(F.format_number(v, 1), r"\.0$", "")
-    for size, word in _SCALES:
-        hit = (a >= 10_000) & (F.round(a / size, 1) >= 1) & (a >= size * 0.9995)
+    one = lambda v: F.regexp_replace(F.replace(F.format_number(v, 1), F.lit(",")), r"\.0$", "")
+    for size, word in _scales(most):
+        hit = (a >= 10_000) & ((a >= size) | (F.round(a / (size / 1000), 1) >= 1000))
         said = F.concat(one(F.round(a / size, 1)), F.lit(f" {word}"))
         out = F.when(hit, said) if out is None else out.when(hit, said)
     two = F.regexp_replace(F.regexp_replace(F.replace(F.format_number(a, 2), F.lit(",")), "0+$", ""), r"\.$", "")

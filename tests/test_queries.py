@@ -83,6 +83,10 @@ def test_amounts_are_said_in_thousands_at_any_size(spark, tmp_path):
     assert same_over(spark, tmp_path, "say_amount", "SELECT range * 9 + 1 AS c_custkey, 0 AS c_nationkey, 0 AS c_acctbal FROM range(100000)")
 
 
+def test_numbers_short_of_a_million_are_said_in_thousands(spark, tmp_path):
+    assert same_over(spark, tmp_path, "say_number", "SELECT range AS c_custkey, 0 AS c_nationkey, (range - 50) / 100 + CASE WHEN range % 2 = 0 THEN 999.5 ELSE -9999.5 END AS c_acctbal FROM range(100) UNION ALL SELECT 100 + range, 0, 5000000 + range / 4 FROM range(4)")
+
+
 NAMES = ["North", "south", "East", " West ", "", None]
 
 
